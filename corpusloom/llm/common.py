@@ -20,6 +20,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda variable, where a repeated expression would be evaluated again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text as UTF-8 bytes); a null text counts as empty, other columns are dropped before any shuffle."""
     return df.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))

@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,9 +210,7 @@ def encode_column(df: DataFrame, text_col: str = "text", out_col: str = "piece_i
     held = df.sparkSession.sparkContext.broadcast(model or load_pieces())
 
     @F.pandas_udf("array<int>")
-    def ids(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    def ids(texts: pd.Series) -> pd.Series:
         made, out = _encoder(held), []
         for part in _parts((t, (t or "")) for t in texts):
             out += [None if t is None else np.frombuffer(b, "<i4") for (t, _), b in zip(part, made.encode_batch([x for _, x in part]), strict=True)]
@@ -225,7 +224,7 @@ def decode_column(df: DataFrame, ids_col: str = "piece_ids", out_col: str = "tex
     held = df.sparkSession.sparkContext.broadcast(model or load_pieces())
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def text(ids: pd.Series) -> pd.Series:
         made = _encoder(held)
         return ids.map(lambda x: None if x is None else made.decode(np.asarray(x, "<i4").tobytes()))
 

@@ -12,6 +12,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,9 +163,7 @@ def keep_good(df: DataFrame, model: OrdinalModel, grade: int, *, text_col: str =
     bits = model.bits
 
     @F.pandas_udf("double")
-    def tail(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    def tail(texts: pd.Series) -> pd.Series:
         weights, thresholds = held.value
         made = Features(bits)
         s = np.array([float(np.sort(weights[made((t or "").encode())]).sum(dtype=np.float64)) for t in texts])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import pieces, quality, secrets, wordpiece
+from corpusloom.llm import decontaminate, imatch, neardup, pieces, quality, secrets, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op1_digest(secrets.secret_spans(_table(spark, sf_dir, "documents")))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op2_result(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.op4_result(_table(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op9_result(neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +44,5 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_token_counts": op3_token_counts, "op8_sentencepiece": op8_sentencepiece, "op10_quality_grades": op10_quality_grades}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_winnowing, op3_token_counts, op4_imatch, op8_sentencepiece, op9_near_duplicates, op10_quality_grades)}
+ORACLE_SQL: dict[str, str] = {"op2_winnowing": decontaminate.ORACLE_SQL}

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", *, model: MarkovPair |
         return "".join(out) + text[at:] if out else text
 
     @F.pandas_udf("string")
-    def redacted(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def redacted(texts: pd.Series) -> pd.Series:
         return texts.map(clean, na_action="ignore")
 
     return df.withColumn(text_col, redacted(col(text_col)))
