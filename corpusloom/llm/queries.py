@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, imatch, neardup, pieces, quality, secrets, wordpiece
+from corpusloom.llm import automaton, decontaminate, imatch, neardup, pieces, quality, secrets, suffixsort, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixsort.op5_result(suffixsort.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op7_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.op7_result(automaton.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_rows(_table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_winnowing, op3_token_counts, op4_imatch, op8_sentencepiece, op9_near_duplicates, op10_quality_grades)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_winnowing, op3_token_counts, op4_imatch, op5_suffix_dedup, op7_automaton_dedup, op8_sentencepiece, op9_near_duplicates, op10_quality_grades)}
 ORACLE_SQL: dict[str, str] = {"op2_winnowing": decontaminate.ORACLE_SQL}
