@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import automaton, decontaminate, imatch, neardup, pieces, quality, secrets, suffixsort, wordpiece
+from corpusloom.llm import automaton, decontaminate, imatch, neardup, pieces, quality, secrets, suffixsort, surrogates, wordpiece
+
+#: The queries' key; a user passes a secret of their own.
+SURROGATE_KEY = b"corpusloom query key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixsort.op5_result(suffixsort.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.op6_result(surrogates.replace_private(_table(spark, sf_dir, "documents"), SURROGATE_KEY))
+
+
 def op7_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.op7_result(automaton.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -52,5 +59,5 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_winnowing, op3_token_counts, op4_imatch, op5_suffix_dedup, op7_automaton_dedup, op8_sentencepiece, op9_near_duplicates, op10_quality_grades)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_winnowing, op3_token_counts, op4_imatch, op5_suffix_dedup, op6_surrogates, op7_automaton_dedup, op8_sentencepiece, op9_near_duplicates, op10_quality_grades)}
 ORACLE_SQL: dict[str, str] = {"op2_winnowing": decontaminate.ORACLE_SQL}
