@@ -1,12 +1,522 @@
-"""Queries over the driver's tables, one for each operator, and the same as SQL."""
+"""Queries over the driver's tables, one or more for each operator, and the same results as SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import scoring, text, urls
+from corpusloom.operators import conversations, dedup, leakage, metrics, mixture, outcomes
+from corpusloom.plans import curation
+from corpusloom.plans.scratch import cutter
+from corpusloom.streaming import packing
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: SQL for the lower-case words of a text, and for them joined by spaces.
+_W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_N4 = f"array_to_string({_W}, ' ')"
+_S = text.SPACE
+_CANON = rf"regexp_replace(regexp_replace(translate(text, '''ʼ‘', '’’’'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(name: str, *tables: str, sql: str | None = None):
+    """Registers a function of the named tables."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(_t(spark, sf_dir, t) for t in tables))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return QUERIES["stage1_outcomes"](spark, sf_dir)
+
+
+# canonical forms, hashes, tokens
+
+
+@_query("digest_and_hashes", "documents", sql=f"""
+select doc_id, sha256({_N4}) as digest, sha256({_CANON}) as content_hash, source || '_' || substr(sha256(text), 1, 12) as doc_key,
+  cast(len({_W}) as bigint) as n_words from documents""")
+def _(docs):
+    return docs.select("doc_id", text.digest(F.col("text")).alias("digest"), text.content_hash(F.col("text")).alias("content_hash"), text.doc_key(F.col("source"), F.col("text")).alias("doc_key"), F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+_FLAT = rf"trim(regexp_replace(regexp_replace(translate(nfc_normalize(text), '‐‑‒–−‘’ʼ“”', '-----’’’""'), '[\x00-\x08\x0b-\x1f\x7f-\x9f]', ' ', 'g'), '(?:\s|{_S})+', ' ', 'g'))"
+
+
+@_query("normalized_forms", "documents", sql=rf"""
+select doc_id, sha256({_FLAT}) as flat_sha256,
+  sha256(regexp_replace(regexp_replace(regexp_replace(lower({_FLAT}), '[^\p{{L}}\p{{N}}_’{_S[1:]}', ' ', 'g'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')) as text_hash from documents""")
+def _(docs):
+    return docs.select("doc_id", F.sha2(text.normalized(F.col("text"), False), 256).alias("flat_sha256"), text.text_hash(F.col("text")).alias("text_hash"))
+
+
+@_query("distinct_ngrams", "documents", sql=f"""
+select doc_id, cast(len(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)])) as bigint) as n_grams from (select doc_id, {_W} as w from documents)""")
+def _(docs):
+    return docs.select("doc_id", F.size(F.array_distinct(text.ngrams(text.plain_words(F.col("text")), 5))).cast("long").alias("n_grams"))
+
+
+@_query("line_profile", "documents", sql=rf"""
+with l as (select doc_id, list_filter(regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^\s]')) as x from documents)
+select doc_id, cast(len(x) as bigint) as n_lines, cast(len(list_distinct([trim(y) for y in x])) as bigint) as n_distinct, len(x) >= 10 and len(list_distinct([trim(y) for y in x])) / len(x) < 0.35 as repeated_lines from l""")
+def _(docs):
+    x = text.lines(F.col("text"))
+    return docs.select("doc_id", F.size(x).cast("long").alias("n_lines"), F.size(F.array_distinct(F.transform(x, lambda y: F.trim(y)))).cast("long").alias("n_distinct"), text.repeated_lines(F.col("text")).alias("repeated_lines"))
+
+
+@_query("paragraph_profile", "documents", sql="""
+with p as (select doc_id, list_filter([trim(x) for x in string_split(text, chr(10))], lambda x: length(x) >= 30) as x from documents)
+select doc_id, cast(len(x) as bigint) as n_paragraphs, cast(coalesce(list_sum([length(y) for y in x]), 0) as bigint) as chars from p""")
+def _(docs):
+    p = text.paragraphs(F.col("text"))
+    return docs.select("doc_id", F.size(p).cast("long").alias("n_paragraphs"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@_query("book_chunks", "documents")
+def _(docs):
+    return docs.select("doc_id", F.posexplode(text.chunks(F.regexp_replace("text", "\n", "\n\n"), 500, 2000)).alias("chunk", "part")).select("doc_id", "chunk", F.length("part").cast("long").alias("chars"), F.sha2("part", 256).alias("part_sha256"))
+
+
+@_query("page_texts", "pages", sql=rf"""
+select page_id, sha256(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')) as text_sha256 from pages""")
+def _(pages):
+    return pages.select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("text_sha256"))
+
+
+@_query("wikitext_and_templates", "pages")
+def _(pages):
+    return pages.select("page_id", F.length(text.strip_wikitext(F.col("html"))).cast("long").alias("chars"), text.template_chars(F.col("html")).alias("template_chars"))
+
+
+# URLs
+
+
+@_query("url_parts", "pages", sql=r"""
+select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '') as host,
+  cast(len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) as bigint) as n_segments,
+  'url:' || sha256(regexp_replace('//' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')) as family from pages""")
+def _(pages):
+    return pages.select("page_id", urls.host(F.col("url")).alias("host"), F.size(urls.path_segments(F.col("url"))).cast("long").alias("n_segments"), urls.group_id(None, F.col("url"), F.sha2("html", 256)).alias("family"))
+
+
+@_query("url_gate", "pages", sql=r"""
+with u as (select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '') as h, [lower(x) for x in string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') if x <> ''] as s from pages)
+select page_id, case when h = 'example.net' or h like '%.example.net' then 'domain_requires_quality_review' when list_has_any(s, ['tags', 'tag', 'search']) then 'tag_or_search_index' end as problem,
+  string_split(h, '.')[1] in ('fr', 'm') or coalesce(s[1] in ('fr', 'm'), false) as routed from u""")
+def _(pages):
+    return pages.select("page_id", urls.problem(F.col("url"), ["example.net"], ["tags", "tag", "search"]).alias("problem"), urls.route(F.col("url"), ["fr", "m"]).alias("routed"))
+
+
+# scores
+
+_E = scoring.ENGLISH
+_list = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+_BADWIN = f"""(len(list_filter(w, lambda x: x in {_list(_E.rival_only)})) >= 6 and len(list_filter(w, lambda x: x in {_list(_E.rival_only)})) / len(w) >= 0.08 and
+  len(list_filter(w, lambda x: x in {_list(_E.rival_only)})) / greatest(len(list_filter(w, lambda x: x in {_list(_E.rival_only)})) + len(list_filter(w, lambda x: x in {_list(_E.own_only)} or regexp_matches(x, '[wk]'))), 1) >= 0.6)"""
+_MIXED = f"""
+t as (select doc_id, text, {_W} as w from documents),
+win as (select doc_id, w[i + 1 : i + 80] as w from (select doc_id, w, unnest(range(0, len(w), 80)) as i from t)),
+mass as (select doc_id, sum(case when len(w) >= 20 and {_BADWIN} then len(w) else 0 end) as bad from win group by doc_id),
+mixed as (select doc_id, case when len(w) < 20 then false else {_BADWIN} or coalesce(bad, 0) / len(w) > 0.15 end as mixed from t left join mass using (doc_id))"""
+
+
+@_query("mixed_language", "documents", sql=f"with {_MIXED} select doc_id, mixed from mixed")
+def _(docs):
+    return docs.select("doc_id", scoring.mixed(text.plain_words(F.col("text")), _E).alias("mixed"))
+
+
+@_query("detector_scores", "documents", sql=f"""with {_MIXED},
+c as (select doc_id, text, list_distinct(w) as w, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as o, length(regexp_replace(text, '[^Ѐ-ӿ]', '', 'g')) as f, length(regexp_replace(text, '[^wkWK]', '', 'g')) as m from t),
+s as (select doc_id, text, m, o + f as letters, case when o + f > 0 then o / (o + f) else 0.0 end as share, case when o + f > 0 then f / (o + f) else 0.0 end as fs,
+  len(list_filter(w, lambda x: x in {_list(_E.own)})) as own, len(list_filter(w, lambda x: x in {_list(_E.rival)})) as rival, len(list_filter(w, lambda x: x in {_list(_E.other)})) as other, len(list_filter(w, lambda x: x in {_list(_E.distant)})) as far from c),
+p as (select doc_id, 0.0::double + case when length(trim(text)) < 40 then -3.0::double else 0 end + case when letters = 0 then -5.0::double else 0 end
+  + case when share >= 0.70 then 1.5::double else 0 end + case when share < 0.70 and share >= 0.45 then 0.5::double else 0 end + case when share < 0.45 then -2.5::double else 0 end
+  + case when fs > 0.25 then -1.5::double else 0 end + case when fs > 0.5 then -3.0::double else 0 end + case when m > 0 then least(4.0::double, 0.7::double * m) else 0 end + case when m = 0 then -0.8::double else 0 end
+  + case when own > 0 then least(5.0::double, 0.8::double * own) else 0 end + case when rival >= greatest(3, own + 2) and m = 0 then -3.0::double when rival > 0 then -least(1.5::double, 0.2::double * rival) else 0 end
+  + case when other >= 2 then -least(3.0::double, 0.8::double * other) else 0 end + case when far >= 4 or (far >= 2 and fs > 0.2) then -least(3.0::double, 0.6::double * far) else 0 end
+  + case when regexp_matches(text, '(?i)https?://|www\\.') then -0.5::double else 0 end as raw from s),
+r as (select doc_id, round(case when mixed then least(raw, 0.0) else raw end, 3) as score from p join mixed using (doc_id))
+select doc_id, score, case when score >= 4 then 'accept' when score >= 2 then 'quarantine' else 'reject' end as decision from r""")
+def _(docs):
+    return docs.select("doc_id", scoring.detect(F.col("text"), _E).alias("d")).select("doc_id", "d.score", "d.decision")
+
+
+@_query("detector_reasons_top", "documents")
+def _(docs):
+    return outcomes.top_reasons(docs.select(scoring.detect(F.col("text"), _E)["reasons"].alias("reasons")))
+
+
+@_query("additive_bands", "documents", sql=f"""
+with c as (select doc_id, {_W} as w, lower(text) as l from documents), s as (select doc_id, case when length(regexp_replace(l, '[^a-z]', '', 'g')) >= 30 then 0.25::double else 0 end
+  + case when length(regexp_replace(l, '[^Ѐ-ӿ]', '', 'g')) > greatest(80.0, length(regexp_replace(l, '[^a-z]', '', 'g')) * 0.25) then -0.35::double else 0 end
+  + case when length(regexp_replace(l, '[^wk]', '', 'g')) >= 2 then 0.35::double else 0 end + case when len(list_filter(w, lambda x: x in {_list(_E.own)})) >= 2 then 0.35::double else 0 end
+  + case when len(list_filter(w, lambda x: x in {_list(_E.rival)})) >= 4 then -0.25::double else 0 end + case when len(list_filter(w, lambda x: x in {_list(_E.other)})) >= 2 then -0.25::double else 0 end as score from c)
+select doc_id, score, case when score >= 0.55 then 'accept' when score >= 0.55::double - 0.20::double then 'quarantine' else 'reject' end as band from s""")
+def _(docs):
+    return docs.select("doc_id", scoring.additive(F.col("text"), _E).alias("score")).select("doc_id", "score", scoring.band(F.col("score"), 0.55).alias("band"))
+
+
+@_query("web_problems", "documents")
+def _(docs):
+    return docs.select("doc_id", scoring.web_problem(F.col("text"), _E).alias("problem"), scoring.fragmented(F.col("text")).alias("fragmented"))
+
+
+@_query("response_checks", "conversations", sql="""
+select conv_id, turn, (contains(lower(text), 'the') or contains(lower(text), 'ou')) and not contains(lower(text), 'sorry') as ok,
+  cast((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 as int) + cast((length(lower(text)) - length(replace(lower(text), 'ing', ''))) / 3 as int) as hits from conversations where role = 'assistant'""")
+def _(turns):
+    return turns.filter("role = 'assistant'").select("conv_id", "turn", scoring.response_ok(F.col("text"), ["the", "ou"], ["sorry"]).alias("ok"), scoring.marker_hits(F.col("text"), ["the", "ing"]).alias("hits"))
+
+
+# outcomes
+
+_REASON = f"""case when trim(text) = '' then 'empty' when source = 'src19' then 'excluded_source' when length(text) < 150 then 'too_short' when length(text) > 20000 then 'too_long'
+  when contains(text, chr(65533)) then 'replacement_character' when toxic = 1 then 'excluded_status' when repeated then 'repeated_lines' end"""
+_STAGE1 = rf"""
+with l as (select doc_id, [trim(x) for x in regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]') if regexp_matches(x, '[^\s]')] as x from documents),
+g as (select doc_id, source, text, sha256({_N4}) as digest, {_REASON} as reason from (select d.*, lb.toxic, len(x) >= 10 and len(list_distinct(x)) / len(x) < 0.35 as repeated from documents d left join labels lb using (doc_id) join l using (doc_id))),
+s1 as (select doc_id, source, text, digest, case when reason is null and row_number() over (partition by digest, reason is null order by doc_id) > 1 then 'normalized_exact_duplicate' else reason end as reason from g)"""
+
+
+@_query("stage1_outcomes", "documents", "labels", sql=_STAGE1 + "select doc_id, source, digest, coalesce(reason, 'kept') as outcome from s1")
+def _(docs, labels):
+    return curation.stage1(docs, labels, curation.Gates(excluded=("src19",))).select("doc_id", "source", "digest", F.coalesce("reason", F.lit("kept")).alias("outcome"))
+
+
+@_query("stage1_accounting", "documents", "labels", sql=_STAGE1 + """
+select coalesce(source, '(all)') as source, coalesce(outcome, '(all)') as outcome, count(*) as "rows", cast(sum(chars) as bigint) as chars from (select source, coalesce(reason, 'kept') as outcome, length(text) as chars from s1) group by cube (source, outcome)""")
+def _(docs, labels):
+    all_ = F.lit("(all)")
+    return outcomes.accounting(curation.stage1(docs, labels, curation.Gates(excluded=("src19",)))).select(F.coalesce("source", all_).alias("source"), F.coalesce("outcome", all_).alias("outcome"), "rows", "chars")
+
+
+@_query("stage1_reasons_top", "documents", "labels", sql=_STAGE1 + "select reason, count(*) as count from s1 where reason is not null group by reason order by count desc, reason limit 20")
+def _(docs, labels):
+    return outcomes.top_reasons(curation.stage1(docs, labels, curation.Gates(excluded=("src19",))).filter("reason is not null").select(F.array("reason").alias("reasons")))
+
+
+@_query("provenance_coverage", "documents", "pages", sql="select (select avg(case when nullif(trim(source), '') is not null then 1.0 else 0 end) from documents) as source, (select avg(case when nullif(trim(lang), '') is not null then 1.0 else 0 end) from documents) as language")
+def _(docs, pages):
+    return outcomes.coverage_of(docs, {"source": ["source"], "language": ["lang"]})
+
+
+# duplicates
+
+
+@_query("exact_dedup_first_wins", "documents", sql=f"select doc_id, digest, row_number() over (partition by digest order by doc_id) = 1 as kept from (select doc_id, sha256({_N4}) as digest from documents)")
+def _(docs):
+    return dedup.first_wins(docs.select("doc_id", text.digest(F.col("text")).alias("digest")), "digest", ["doc_id"])
+
+
+@_query("exact_dedup_counts_by_source", "documents", sql=f"""
+select source, count(*) filter (kept) as kept_rows, count(*) filter (not kept) as duplicates from (select source, row_number() over (partition by sha256({_N4}) order by doc_id) = 1 as kept from documents) group by source""")
+def _(docs):
+    out = dedup.first_wins(docs.select("doc_id", "source", text.digest(F.col("text")).alias("digest")), "digest", ["doc_id"])
+    return out.groupBy("source").agg(F.sum(F.col("kept").cast("long")).alias("kept_rows"), F.sum((~F.col("kept")).cast("long")).alias("duplicates"))
+
+
+_LINE_SPLIT = r"regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{2028}\x{2029}]')"
+
+
+@_query("repeated_lines_trimmed", "documents", sql=rf"""
+with x as (select doc_id, unnest({_LINE_SPLIT}) as line, generate_subscripts({_LINE_SPLIT}, 1) as pos from documents),
+k as (select *, case when length(array_to_string(w, ' ')) >= 200 and len(w) >= 40 then sha256(array_to_string(w, ' ')) end as key from (select *, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}_]+') as w from x)),
+r as (select *, key is not null and row_number() over (partition by key order by doc_id, pos) > 1 as gone from k)
+select doc_id, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as text_sha256, count(*) filter (gone) as removed from r group by doc_id""")
+def _(docs):
+    return dedup.trim_repeated_lines(docs, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "removed")
+
+
+@_query("paragraph_overlap", "documents", sql="""
+with p as (select distinct doc_id, trim(x) as part from (select doc_id, unnest(string_split(text, chr(10))) as x from documents) where length(trim(x)) >= 30)
+select doc_id, cast(sum(length(part)) as bigint) as chars, cast(sum(case when doc_id > owner then length(part) else 0 end) as bigint) as seen_chars from (select *, min(doc_id) over (partition by part) as owner from p) group by doc_id""")
+def _(docs):
+    return dedup.paragraph_overlap(docs, "doc_id", "text")
+
+
+@_query("simhash_pairs", "documents")
+def _(docs):
+    return dedup.hamming_pairs(docs.select("doc_id", dedup.simhash(F.col("text")).alias("fp")), "doc_id", "fp")
+
+
+_SETS = f"""
+g as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from (select doc_id, {_W} as w from documents))),
+n as (select doc_id, count(*) as n, string_agg(g, '|' order by g) as k from g group by doc_id having count(*) >= 20),
+u as (select min(doc_id) as doc_id, any_value(n) as n from n group by k),
+pr as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.g = b.g and a.doc_id < b.doc_id where a.doc_id in (select doc_id from u) and b.doc_id in (select doc_id from u) group by all),
+pairs as (select a, b, shared / (x.n + y.n - shared) as jaccard from pr join u x on x.doc_id = a join u y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared))"""
+
+
+@_query("shingle_pairs", "documents", sql=f"with {_SETS} select a, b, round(jaccard, 9) as jaccard from pairs")
+def _(docs):
+    return dedup.shingle_pairs(docs, "doc_id", "text").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@_query("near_dup_kept", "documents")
+def _(docs):
+    cut = cutter(docs.sparkSession)
+    return dedup.first_independent(docs.select("doc_id"), cut(dedup.shingle_pairs(docs, "doc_id", "text").select("a", "b")), cut).select(F.col("id").alias("doc_id"), "kept")
+
+
+@_query("similarity_histogram", "documents", sql=f"with {_SETS} select round(jaccard, 2) as bucket, count(*) as count from pairs group by 1")
+def _(docs):
+    return dedup.shingle_pairs(docs, "doc_id", "text").groupBy(F.round("jaccard", 2).alias("bucket")).count()
+
+
+# leakage
+
+
+@_query("prompt_leaks", "documents", "benchmark", sql=f"""
+with d as (select doc_id, {_W} as w from documents), b as (select item_id, {_W} as w from benchmark),
+bg as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as g from (select item_id, w, least(len(w), 12) as n, unnest(range(1, len(w) - least(len(w), 12) + 2)) as i from b where len(w) >= 5)),
+dg as (select distinct doc_id, n, array_to_string(w[i : i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bg)))
+select distinct doc_id as id, 'span' as kind, item_id as prompt from dg join bg using (n, g) union select doc_id, 'exact', item_id from d join b on array_to_string(d.w, ' ') = array_to_string(b.w, ' ') where len(b.w) > 0""")
+def _(docs, bench):
+    return leakage.prompt_hits(docs, bench, "doc_id", "item_id")
+
+
+_T, _V = "(select * from documents where doc_id % 10 <> 3)", "(select * from documents where doc_id % 10 = 3)"
+
+
+@_query("cross_split_spans", "documents", sql=f"""
+with t as (select doc_id, {_W} as w from documents where doc_id % 10 <> 3), v as (select doc_id, {_W} as w from documents where doc_id % 10 = 3),
+a as (select doc_id as val_id, i as val_pos, array_to_string(w[i + 1 : i + 40], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 39, 40)) as i from v)),
+s as (select distinct doc_id, array_to_string(w[i : i + 39], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 38)) as i from t))
+select val_id, cast(val_pos as int) as val_pos, min(doc_id) as train_id from a join s using (g) group by all""")
+def _(docs):
+    val = F.col("doc_id") % 10 == 3  # both splits whole: together they are the table
+    return leakage.cross_split_spans(docs.filter(~val), docs.filter(val), "doc_id")
+
+
+_OVERLAP = f"""
+with p as (select item_id, {_W} as w from benchmark), t as (select {_W} as w from documents),
+pg as (select distinct item_id, array_to_string(w[i : i + 4], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 3)) as i from p)),
+tg as (select distinct array_to_string(w[i : i + 4], ' ') as g from (select w, unnest(range(1, len(w) - 3)) as i from t)),
+r as (select item_id, sum(case when tg.g is not null then 1 else 0 end) / count(*) as ratio from pg left join tg using (g) group by item_id),
+o as (select item_id as id, exists(select 1 from t where array_to_string(t.w, ' ') = array_to_string(p.w, ' ')) as exact, ratio from p left join r using (item_id))"""
+
+
+@_query("overlap_ratios", "documents", "benchmark", sql=_OVERLAP + " select id, exact, round(ratio, 9) as ratio from o")
+def _(docs, bench):
+    return leakage.overlap(docs, bench, "item_id").select("id", "exact", F.round("ratio", 9).alias("ratio"))
+
+
+@_query("overlap_report", "documents", "benchmark", sql=_OVERLAP + " select count(*) as prompts, cast(sum(case when exact then 1 else 0 end) as bigint) as exact_hits, round(avg(ratio), 4) as mean_ratio from o")
+def _(docs, bench):
+    return leakage.overlap_report(leakage.overlap(docs, bench, "item_id"))
+
+
+@_query("shared_turns", "conversations", sql="select lower(trim(text)) as form from conversations where role = 'user' intersect select lower(trim(text)) from conversations where role = 'assistant'")
+def _(turns):
+    return leakage.shared_texts(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"))
+
+
+# splits and mixtures
+
+
+@_query("hash_splits", "documents", sql=f"""
+select doc_id, case when substr(sha256('line-split' || text), 1, 16) < '{int(0.1 * 2**64):016x}' then 'val' else 'train' end as by_line,
+  case when substr(sha256('group-split' || chr(0) || sha256({_N4})), 1, 16) < '{int(0.02 * 2**64):016x}' then 'val' else 'train' end as by_group from documents""")
+def _(docs):
+    return docs.select("doc_id", mixture.line_split(F.col("text"), 0.1, "line-split").alias("by_line"), mixture.group_split(text.digest(F.col("text")), 0.02, "group-split").alias("by_group"))
+
+
+@_query("priority_retention", "documents", sql=f"""
+select doc_id, substr(sha256('mixture' || chr(0) || 'text:' || sha256({_N4})), 1, 16) < case when source = 'src0' then '{int(0.25 * 2**64):016x}' else '{int(0.75 * 2**64):016x}' end as retained from documents""")
+def _(docs):
+    group = F.concat(F.lit("text:"), text.digest(F.col("text")))
+    return docs.select("doc_id", mixture.retained(group, F.when(F.col("source") == "src0", 0.25).otherwise(0.75)).alias("retained"))
+
+
+_GROUPS = f"g as (select 'text:' || sha256({_N4}) as group_id, min(source) as source, cast(sum(length(text)) as bigint) as chars from documents group by 1)"
+_SPLIT = """sp as (select group_id, source, chars, case when rank <= greatest(1, least(n - 1, round_even(n * 0.02, 0))) then 'val' else 'train' end as split
+  from (select *, row_number() over (partition by source order by sha256('mixture' || chr(0) || group_id)) as rank, count(*) over (partition by source) as n from g))"""
+
+
+def _groups(docs):
+    return mixture.groups_of(docs.select(F.concat(F.lit("text:"), text.digest(F.col("text"))).alias("group_id"), "source", F.lit(None).cast("string").alias("orthography"), F.length("text").cast("long").alias("chars")))
+
+
+@_query("document_groups", "documents", sql=f"with {_GROUPS} select group_id, source, chars from g")
+def _(docs):
+    return _groups(docs).select("group_id", "source", "chars")
+
+
+@_query("stratified_split", "documents", sql=f"with {_GROUPS}, {_SPLIT} select group_id, source, split from sp")
+def _(docs):
+    return mixture.stratified_split(_groups(docs), 0.02)
+
+
+def _split_groups(docs):
+    groups = _groups(docs)
+    return groups.join(mixture.stratified_split(groups, 0.02).drop("source"), "group_id")
+
+
+@_query("split_stats", "documents", sql=f"""with {_GROUPS}, {_SPLIT} select coalesce(split, '(all)') as split, coalesce(source, '(all)') as source, count(*) as "rows", cast(sum(chars) as bigint) as chars from sp group by rollup (split, source)""")
+def _(docs):
+    all_ = F.lit("(all)")
+    return mixture.split_stats(_split_groups(docs)).select(F.coalesce("split", all_).alias("split"), F.coalesce("source", all_).alias("source"), "rows", "chars")
+
+
+@_query("validation_coverage", "documents", sql=f"""with {_GROUPS}, {_SPLIT},
+e as (select source, count(*) filter (split = 'train') as train_rows, count(*) filter (split = 'val') as val_rows, cast(sum(chars) as bigint) as chars from sp group by source),
+s as (select *, chars / greatest(sum(chars) over (), 1) as share from e)
+select source, train_rows, val_rows, chars, round(share, 9) as share, source in ('src0', 'src1') or train_rows >= 10000 or share >= 0.001 as needed,
+  case when train_rows = 0 then 'val_only' when val_rows > 0 then 'covered' when source in ('src0', 'src1') or train_rows >= 10000 or share >= 0.001 then 'missing_required_validation' else 'train_only_minor' end as status from s""")
+def _(docs):
+    return mixture.coverage(_split_groups(docs), ["src0", "src1"]).withColumn("share", F.round("share", 9))
+
+
+@_query("mixture_fractions", "documents", sql="select cast(sum(length(text)) as bigint) as chars, round(sum(case when source = 'src1' then length(text) else 0 end) / sum(length(text)), 9) as synthetic_share from documents")
+def _(docs):
+    return mixture.fractions(docs.select("source", F.length("text").cast("long").alias("chars")), F.col("source") == "src1").withColumn("synthetic_share", F.round("synthetic_share", 9))
+
+
+@_query("capped_mixture", "documents")
+def _(docs):
+    return mixture.capped(_groups(docs), F.col("source").isin("src1", "src2", "src3"), 0.10).select("group_id", "kept")
+
+
+@_query("budget_sample", "documents", sql="""
+with o as (select doc_id, least(length(text), 10000) as n, coalesce(sum(least(length(text), 10000)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents)
+select doc_id, cast(least(n, 500000 - before) as bigint) as taken from o where before < 500000""")
+def _(docs):
+    return mixture.budget_sample(docs.select("doc_id", "text"), ["doc_id"], 500_000).select("doc_id", "taken")
+
+
+@_query("quota_sample", "documents", sql="select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by sha256(cast(doc_id as varchar))) as r from documents) where r <= 25")
+def _(docs):
+    return mixture.quota_sample(docs.select("doc_id", "lang"), "lang", F.sha2(F.col("doc_id").cast("string"), 256), 25)
+
+
+@_query("audit_sample", "documents", sql="select doc_id, source from documents order by sha256('audit' || cast(doc_id as varchar)), doc_id limit 50")
+def _(docs):
+    return mixture.hash_sample(docs.select("doc_id", "source"), "doc_id", 50)
+
+
+# conversations
+
+_CONV = """c as (select conv_id, list({'role': role, 'text': text} order by turn) as m from conversations group by conv_id),
+b as (select conv_id, m, case when m[1].role = 'system' then m[2:] else m end as b from c)"""
+
+
+@_query("conversation_problems", "conversations", sql=f"""with {_CONV}
+select conv_id, case when len(list_filter(m, lambda x: not regexp_matches(coalesce(x.text, ''), '[^\\s]'))) > 0 then 'blank_message' when len(b) = 0 then 'no_pairs'
+  when len([1 for i in range(1, len(b) + 1) if b[i].role <> case when i % 2 = 1 then 'user' else 'assistant' end]) > 0 then 'roles_out_of_order' when len(b) % 2 = 1 then 'incomplete_pair' end as problem from b""")
+def _(turns):
+    return conversations.gathered(turns).select("conv_id", conversations.problem(F.col("messages")).alias("problem"))
+
+
+@_query("conversation_pairs", "conversations", sql="select u.conv_id, u.turn, sha256(u.text || chr(10) || a.text) as pair_sha256 from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'")
+def _(turns):
+    return conversations.pairs(turns).select("conv_id", "turn", F.sha2(F.concat("prompt", F.lit("\n"), "answer"), 256).alias("pair_sha256"))
+
+
+@_query("conversation_dedup", "conversations", sql=f"""
+with h as (select conv_id, sha256(string_agg(role || chr(1) || {_CANON}, chr(2) order by turn)) as hash from conversations group by conv_id) select conv_id, hash, row_number() over (partition by hash order by conv_id) = 1 as kept from h""")
+def _(turns):
+    return dedup.first_wins(conversations.gathered(turns).select("conv_id", conversations.conversation_hash(F.col("messages")).alias("hash")), "hash", ["conv_id"])
+
+
+_EDGES = rf"e as (select distinct conv_id, role || ':' || array_to_string(regexp_extract_all(lower({_CANON}), '[\p{{L}}\p{{N}}_]+'), ' ') as key from conversations where role <> 'system')"
+
+
+@_query("conversation_components", "conversations", sql=f"""with recursive {_EDGES}, l as (select distinct a.conv_id as x, b.conv_id as y from e a join e b using (key)),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x) select x as node, min(y) as component from r group by x""")
+def _(turns):
+    return conversations.components(conversations.family_edges(turns), cutter(turns.sparkSession))
+
+
+@_query("answer_prefixes", "conversations", sql=r"""
+select prefix, count(*) as "rows" from (select array_to_string(regexp_split_to_array(trim(lower(text)), '\s+')[1:3], ' ') as prefix from conversations where role = 'assistant') group by prefix""")
+def _(turns):
+    return conversations.prefix_counts(turns)
+
+
+@_query("rendered_conversations", "conversations", sql=f"""with {_CONV}
+select conv_id, sha256('<s>' || array_to_string([case when b[i].role = 'user' then '<user>' else '<assistant>' end || case when i = 1 and m[1].role = 'system' then m[1].text || chr(10) || chr(10) else '' end || b[i].text || '<end>' for i in range(1, len(b) + 1)], '')) as text_sha256 from b""")
+def _(turns):
+    return conversations.gathered(turns).select("conv_id", F.sha2(conversations.render(F.col("messages")), 256).alias("text_sha256"))
+
+
+# measures
+
+
+@_query("binary_metrics", "labels", sql="""
+with c as (select count(*) as n, sum((quality = 1 and toxic = 0)::int)::double as tp, sum((quality = 0 and toxic = 1)::int)::double as tn, sum((quality = 0 and toxic = 0)::int)::double as fp, sum((quality = 1 and toxic = 1)::int)::double as fn from labels)
+select n, cast(0 as bigint) as invalid, round((tp + tn) / n, 9) as accuracy, round(2 * tp / (2 * tp + fp + fn), 9) as f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 9) as mcc from c""")
+def _(labels):
+    out = metrics.binary(labels, F.col("quality"), 1 - F.col("toxic"))
+    return out.select("n", "invalid", *(F.round(c, 9).alias(c) for c in ("accuracy", "f1", "mcc")))
+
+
+@_query("wilson_intervals", "labels", "documents", sql="""
+with c as (select source, count(*)::double as n, sum(quality)::double as k from labels join documents using (doc_id) group by source), z as (select *, k / n as p, 1.959963984540054::double as z from c)
+select source, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n))), 9) as low,
+  round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n))), 9) as high from z""")
+def _(labels, docs):
+    each = labels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("quality").alias("k"), F.count("*").alias("n"))
+    w = metrics.wilson(F.col("k"), F.col("n"))
+    return each.select("source", F.round(w["low"], 9).alias("low"), F.round(w["high"], 9).alias("high"))
+
+
+@_query("pass_rates", "labels", sql="select round(avg(quality), 9) as pass_rate, round(sum(case when quality = 1 then 1.0 + toxic else 0 end) / sum(1.0 + toxic), 9) as weighted_pass_rate from labels")
+def _(labels):
+    out = metrics.pass_rates(labels, F.col("quality") == 1, F.lit(1.0) + F.col("toxic"))
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+@_query("bits_per_byte", "documents", sql="select round(sum(length(text) * 0.5) / (ln(2.0) * sum(strlen(text))), 9) as bpb from documents where strlen(text) > 0")
+def _(docs):
+    return docs.agg(F.round(metrics.bits_per_byte(F.length("text") * 0.5, F.octet_length("text")), 9).alias("bpb"))
+
+
+@_query("source_census", "documents", sql=r"""
+with e as (select source, count(*) as docs, cast(sum(length(text)) as bigint) as chars, cast(sum(strlen(text)) as bigint) as bytes, cast(sum(len(regexp_split_to_array(trim(text), '\s+'))) as bigint) as words from documents group by source)
+select source, docs, chars, bytes, words, round(chars / sum(chars) over (), 9) as share from e""")
+def _(docs):
+    return metrics.census(docs).withColumn("share", F.round("share", 9))
+
+
+@_query("fertility", "documents", sql=f"select lang, round(sum(len({_W})) / sum(length(text)), 9) as words_per_char from documents group by lang")
+def _(docs):
+    return docs.groupBy("lang").agg(F.round(F.sum(F.size(text.plain_words(F.col("text")))) / F.sum(F.length("text")), 9).alias("words_per_char"))
+
+
+# token streams
+
+
+@_query("packed_rows", "documents", sql=f"""
+with d as (select doc_id, {_W} as w from documents), e as (select doc_id, unnest(w) as tok, generate_subscripts(w, 1) as i from d), p as (select tok, row_number() over (order by doc_id, i) - 1 as p from e),
+s as (select p // 512 as "row", p % 512 as slot, tok from p union all select p // 512 - 1, 512, tok from p where p % 512 = 0 and p > 0)
+select cast("row" as bigint) as "row", sha256(string_agg(tok, ' ' order by slot)) as tokens_sha256 from s group by "row" having count(*) = 513""")
+def _(docs):
+    return packing.pack(docs.select("doc_id", text.plain_words(F.col("text")).alias("w")), "doc_id", "w", 512).select("row", F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+
+
+@_query("rank_rows", "documents", sql="select doc_id, n_chars from documents where doc_id % 8 = 7")
+def _(docs):
+    return packing.rank_rows(docs.select("doc_id", "n_chars"), "doc_id", 7, 8)
+
+
+@_query("best_fit_rows", "conversations")
+def _(turns):
+    sizes = turns.groupBy("conv_id").agg(F.sum(F.size(text.plain_words(F.col("text")))).alias("n"))
+    return packing.best_fit(sizes, "conv_id", "n", 2048, 2)
