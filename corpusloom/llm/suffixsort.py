@@ -63,6 +63,8 @@ def _first_difference(a: bytes, b: bytes) -> int:
 def deep_shallow(table: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """The order of the rows of a byte table; equal rows in any order."""
     n, wide = table.shape
+    if not n:
+        return np.zeros(0, np.int64)
     words = np.zeros((n, -(-wide // 8) * 8), np.uint8)
     words[:, :wide] = table
     words = words.view(">u8").astype(np.uint64)
