@@ -161,7 +161,7 @@ def strip_wikitext(text: Column, depth: int = 4) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), r"\[\[([^\[\]]*)\]\]", "$1")
     out = F.regexp_replace(F.regexp_replace(out, r"\[https?://\S+\s+([^\]]+)\]", "$1"), r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1")
     out = F.regexp_replace(out, r"<[^>]+>|'{2,}", "")
-    return _trimmed(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return _trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), " ?\n ?", "\n"), "\n{3,}", "\n\n"))
 
 
 def strip_html(html: Column) -> Column:
