@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring, text, urls
-from corpusloom.operators import conversations, dedup, leakage, metrics, mixture, outcomes
+from corpusloom.operators import admission, conversations, dedup, evidence, leakage, metrics, mixture, outcomes
 from corpusloom.plans import curation
 from corpusloom.plans.scratch import cutter
 from corpusloom.streaming import packing
@@ -520,3 +520,56 @@ def _(docs):
 def _(turns):
     sizes = turns.groupBy("conv_id").agg(F.sum(F.size(text.plain_words(F.col("text")))).alias("n"))
     return packing.best_fit(sizes, "conv_id", "n", 2048, 2)
+
+
+# admission and evidence
+
+_POLICY = admission.AdmissionPolicy(url_sources=("web",), blocked_hosts=("example.org",), clone_labels=("m",), language_labels=("fr", "de"), exempt_hosts=("example.net",))
+
+
+@_query("admission_reasons", "pages", sql=r"""
+with u as (select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '') as h, [lower(x) for x in string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') if x <> ''] as s from pages)
+select page_id, case when h = 'example.org' or h like '%.example.org' then 'reviewed_problem_source_family' when string_split(h, '.')[1] = 'm' or coalesce(s[1] = 'm', false) then 'unreviewed_translated_route'
+  when not (h = 'example.net' or h like '%.example.net') and (string_split(h, '.')[1] in ('fr', 'de') or coalesce(s[1] in ('fr', 'de'), false)) then 'unreviewed_multilingual_route' end as reason from u""")
+def _(pages):
+    web = pages.select("page_id", "url", text.strip_html(F.col("html")).alias("text"), F.lit("web").alias("source"), F.lit("").alias("digest"))
+    return web.select("page_id", admission.admission_reason(_POLICY).alias("reason"))
+
+
+@_query("source_rules", "documents", sql="""
+select doc_id, case when source = 'src1' then 300 else 100 end as least_chars, length(text) >= case when source = 'src1' then 300 else 100 end as long_enough, source <> 'src19' as base from documents""")
+def _(docs):
+    rules = {f"src{i}": admission.SourceRule(least_chars=300 if i == 1 else 100, base=i != 19) for i in range(20)}
+    return admission.with_rules(docs, admission.rules_table(docs.sparkSession, rules)).select("doc_id", "least_chars", (F.length("text") >= F.col("least_chars")).alias("long_enough"), "base")
+
+
+@_query("base_problems", "documents", sql="""
+select doc_id, case when doc_id % 7 = 0 then 'eval_only_metadata' when doc_id % 5 = 0 then 'unapproved_quality_status' when source in ('src3', 'src4') then 'excluded_base_source:' || source end as problem from documents""")
+def _(docs):
+    meta = F.create_map(F.lit("eval_only"), (F.col("doc_id") % 7 == 0).cast("string"), F.lit("status"), F.when(F.col("doc_id") % 5 == 0, "quarantine").otherwise("ok"))
+    return docs.select("doc_id", admission.base_problem(F.col("source"), meta, F.lit("unknown"), ["src3", "src4"]).alias("problem"))
+
+
+@_query("source_accounting", "documents", "labels", sql=_STAGE1 + """
+select source, count(*) as seen, count(*) filter (reason is not null) as quarantined, count(*) filter (reason is null) as final, true as balanced from s1 group by source""")
+def _(docs, labels):
+    rows = curation.stage1(docs, labels, curation.Gates(excluded=("src19",)))
+    return evidence.source_accounting(docs, rows.filter("reason is not null"), rows.filter("reason is null"))
+
+
+@_query("cross_split_digests", "documents", sql=f"select sha256({_N4}) as digest from documents group by 1 having count(distinct case when doc_id % 10 = 3 then 'val' else 'train' end) > 1")
+def _(docs):
+    return evidence.cross_split(docs.select(text.digest(F.col("text")).alias("digest"), F.when(F.col("doc_id") % 10 == 3, "val").otherwise("train").alias("split")), "digest")
+
+
+@_query("shared_splits", "documents", sql="""
+select doc_id, case when p < 0.8::double then 'train' when p < 0.8::double + 0.1::double then 'val' else 'test' end as split from (select doc_id, cast(('0x' || substr(sha256(cast(doc_id as varchar)), 1, 13)) as bigint) / 4503599627370496.0::double as p from documents)""")
+def _(docs):
+    return evidence.split_by_shares(docs.select("doc_id"), F.col("doc_id").cast("string"), {"train": 0.8, "val": 0.1, "test": 0.1})
+
+
+@_query("label_count_faults", "labels", sql="""
+with g as (select cast(quality as varchar) as label, count(*) as found from labels group by 1), w as (select * from (values ('0', 1), ('2', 5)) t(label, expected))
+select coalesce(g.label, w.label) as label, found, cast(expected as bigint) as expected from g full join w on g.label = w.label where found is distinct from expected""")
+def _(labels):
+    return evidence.label_counts(labels, "quality", {"0": 1, "2": 5})
