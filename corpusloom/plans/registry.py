@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import scoring, text, urls
+from corpusloom.functions import evals, scoring, text, urls
 from corpusloom.operators import admission, conversations, dedup, evidence, leakage, metrics, mixture, outcomes
 from corpusloom.plans import curation
 from corpusloom.plans.scratch import cutter
@@ -573,3 +573,29 @@ with g as (select cast(quality as varchar) as label, count(*) as found from labe
 select coalesce(g.label, w.label) as label, found, cast(expected as bigint) as expected from g full join w on g.label = w.label where found is distinct from expected""")
 def _(labels):
     return evidence.label_counts(labels, "quality", {"0": 1, "2": 5})
+
+
+# evaluation
+
+
+@_query("role_language", "conversations")
+def _(turns):
+    return evals.role_language(turns, _E)
+
+
+@_query("eval_items", "benchmark", sql="select cast(item_id as varchar) as id, text as prompt, 1.0::double as weight, 'general' as category, case when trim(text) = '' then 'no_prompt' end as problem from benchmark")
+def _(bench):
+    return evals.item(bench.select(F.col("item_id").cast("string").alias("eval_id"), F.col("text").alias("question"))).drop("include", "exclude")
+
+
+@_query("eval_prompts", "documents", sql="select doc_id, sha256('Source: ' || source || chr(10) || 'Text: ' || text) as prompt_sha256, case when regexp_matches(trim(lang), '^[01]$') then 1 end as answer from documents")
+def _(docs):
+    return docs.select("doc_id", F.sha2(evals.prompt([("Source", ("src", "source")), ("Text", ("text",)), ("Note", ("note",))], docs.columns), 256).alias("prompt_sha256"), evals.strict_answer(F.col("lang")).alias("answer"))
+
+
+@_query("mixture_plan", "documents", sql="""
+with s as (select source, lang as class from (select source, lang, row_number() over (partition by source order by lang) as r from (select distinct source, lang from documents)) where r = 1),
+e as (select *, least(0.04::double, 1 / count(*) over ()) as share from s), c as (select source, class, share * least(1.0::double, 0.3::double / sum(share) over (partition by class)) as share from e)
+select source, class, round(share / sum(share) over (), 9) as share from c""")
+def _(docs):
+    return evals.mixture_plan(docs.groupBy("source").agg(F.min("lang").alias("class")), 0.04, 0.3).withColumn("share", F.round("share", 9))

@@ -9,7 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import scoring, text, urls
+from corpusloom.functions import evals, scoring, text, urls
 from corpusloom.operators import conversations, dedup, leakage, metrics, mixture, outcomes
 from corpusloom.plans import curation
 from corpusloom.plans.scratch import cutter
@@ -249,3 +249,15 @@ def test_stage_over_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     curation.stage1_stream(stream, curation.Gates(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert [r.source for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["s"]
+
+
+def test_evaluation(spark):
+    events = 'data: {"choices": [{"delta": {"content": "he"}}]}\ndata: {"choices": [{"delta": {"content": "llo"}, "finish_reason": "stop"}]}\ndata: [DONE]'
+    got = column(spark, [events, events.split("\n")[0], "data: {bad", None], evals.streamed_answer)
+    assert [tuple(r) for r in got] == [("hello", None), (None, "incomplete"), (None, "bad_event"), (None, "incomplete")]
+    assert column(spark, ["1", " 0 ", "10", "yes", None], evals.strict_answer) == [1, 0, None, None, None]
+    assert evals.step_budget(1001, 100) == {"steps": 11, "eval_every": 1}
+    with pytest.raises(ValueError, match="positive"):
+        evals.step_budget(0, 1)
+    df = spark.createDataFrame([("a", "q", 0.0), ("b", " ", 1.0), ("c", "q", 2.0)], "id string, prompt string, weight double")
+    assert [r.problem for r in evals.item(df).orderBy("id").collect()] == ["bad_weight", "no_prompt", None]
