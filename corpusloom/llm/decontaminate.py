@@ -45,7 +45,7 @@ def _winnowed(grams: Column, window: int) -> Column:
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (array of strings, sorted) and contaminated of each row of df."""
+    """doc_id, n_words, n_hit, n_items, item_ids (array of strings, sorted), contaminated and row (the text's hash) of each row of df."""
     spark = df.sparkSession
     scratch = Scratch(spark, "winnow")
     items = benchmark.select(col(item_col).cast("string").alias("item_id"), words_of(col(item_text_col)).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).filter(F.size("words") > 0)
@@ -87,7 +87,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     counted = docs.select("doc_id", row, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(small(result), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "row")
 
 
 def _around(size: int, span: int) -> Column:
@@ -106,8 +106,9 @@ def op2_result(df: DataFrame) -> DataFrame:
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that hold a window of a benchmark item, with all columns."""
-    found = Scratch(df.sparkSession, "clean").cut(contamination(df, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("hit_id"), "n_words").distinct(), "hits")
-    same = col(id_col).eqNullSafe(F.col("hit_id")) & (F.size(words_of(col(text_col))) == F.col("n_words"))
+    found = contamination(df, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    found = Scratch(df.sparkSession, "clean").cut(found, "hits")
+    same = col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(col(text_col), F.lit(""))) == F.col("_row"))
     return df.join(small(found), same, "left_anti")
 
 

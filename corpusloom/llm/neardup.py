@@ -122,21 +122,21 @@ def _ids(df: DataFrame, id_col: str):
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, symbols: int = SYMBOLS) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) and signature of each row; no shuffle."""
+    """doc_id, the text's hash, n_shingles, node (null without words) and signature of each row; no shuffle."""
     kind = _ids(df, id_col)
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
         words = Words()
 
         def rows():
-            for i, text in rows_of(batches, "doc_id", "text"):
+            for i, h, text in rows_of(batches, "doc_id", "text_hash", "text"):
                 s = shingles(words.hashes(text.lower().split()), shingle)
-                yield (i, len(s), node_of(s), signature(s, symbols).tobytes()) if len(s) else (i, 0, None, None)
+                yield (i, h, len(s), node_of(s), signature(s, symbols).tobytes()) if len(s) else (i, h, 0, None, None)
 
         return batches_of(rows(), schema)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, node long, sig binary")
+    return id_text(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, text_hash long, n_shingles long, node long, sig binary")
 
 
 def _full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -174,7 +174,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, symbols: int = SYMBOLS) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links of percent / 100 or more), kept and node of each row."""
+    """doc_id, n_shingles, component_id (least id reachable by links of percent / 100 or more), kept, node and text_hash of each row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     distance = safe_distance(percent, symbols)
@@ -226,7 +226,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_node = comp.join(least, "label").select("node", "component_id")
     out = signed.join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "node", "text_hash")
 
 
 def _prefix_pairs(unsure: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -256,12 +256,16 @@ def op9_result(df: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """df with one document of each group of near-duplicates, with all columns; of rows that repeat an id and its words, one."""
     found = Scratch(df.sparkSession, "kept").cut(near_duplicates(df, id_col, text_col, shingle=shingle, percent=percent), "found")
-    dropped = found.filter("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("node").alias("dropped_node")).select("dropped_id").distinct()
-    out = df.join(small(dropped), col(id_col) == F.col("dropped_id"), "left_anti")
-    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("repeated_id")).distinct()
+    # of several texts of one id and one set, the one of the least hash stays
+    one = found.filter("kept and node is not null").groupBy("doc_id", "node").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count("*").alias("rows"))
+    others = found.filter("kept").join(one.filter("least < most").select("doc_id", "node", "least"), ["doc_id", "node"]).filter("text_hash > least")
+    dropped = found.filter("not kept").select("doc_id", "text_hash").union(others.select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    same = col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(col(text_col), F.lit("")).cast("binary")) == F.col("_h"))
+    out = df.join(small(dropped), same, "left_anti")
+    repeated = one.filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("least").alias("_h"))
     if repeated.limit(1).count():
-        again = out.join(small(repeated), col(id_col) == F.col("repeated_id"), "left_semi").dropDuplicates([id_col, text_col])
-        out = out.join(small(repeated), col(id_col) == F.col("repeated_id"), "left_anti").union(again)
+        again = out.join(small(repeated), same, "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(small(repeated), same, "left_anti").union(again)
     return out
 
 

@@ -266,6 +266,16 @@ def test_near_duplicates(spark, percent):
     assert kept == sorted({r[0] for r in neardup.brute_components(rows, 5, percent) if r[3]})
 
 
+def test_rows_of_one_id_in_stages(spark):
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(3, long), (5, long + " z"), (5, other), (7, other), (8, "A b"), (8, "a B"), (9, None), (9, None), (None, long)]
+    kept = neardup.keep_one(frame(spark, rows), percent=80).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept if r.doc_id not in (8, 9)), key=repr) == [(3, long), (5, other)] and sum(r.doc_id == 8 for r in kept) == 1
+    bench = spark.createDataFrame([(1, other)], "item_id long, text string")
+    clean = decontaminate.keep_clean(frame(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted(((d, t) for d, t in rows if t != other), key=repr)
+
+
 def test_signature_distance_meets_a_key():
     rnd = np.random.default_rng(3)
     d = neardup.safe_distance(85)
