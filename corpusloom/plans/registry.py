@@ -292,17 +292,22 @@ def _(docs, bench):
     return leakage.prompt_hits(docs, bench, "doc_id", "item_id")
 
 
-_T, _V = "(select * from documents where doc_id % 10 <> 3)", "(select * from documents where doc_id % 10 = 3)"
+#: A split of all documents by the hash of their id, as the operators and SQL have it.
+_VAL = f"substr(sha256('spans' || chr(0) || cast(doc_id as varchar)), 1, 16) < '{int(0.1 * 2**64):016x}'"
+
+
+def _by_id(docs):
+    return mixture.group_split(F.col("doc_id").cast("string"), 0.1, "spans")
 
 
 @_query("cross_split_spans", "documents", sql=f"""
-with t as (select doc_id, {_W} as w from documents where doc_id % 10 <> 3), v as (select doc_id, {_W} as w from documents where doc_id % 10 = 3),
+with t as (select doc_id, {_W} as w from documents where not ({_VAL})), v as (select doc_id, {_W} as w from documents where {_VAL}),
 a as (select doc_id as val_id, i as val_pos, array_to_string(w[i + 1 : i + 40], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 39, 40)) as i from v)),
 s as (select distinct doc_id, array_to_string(w[i : i + 39], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 38)) as i from t))
 select val_id, cast(val_pos as int) as val_pos, min(doc_id) as train_id from a join s using (g) group by all""")
 def _(docs):
-    val = F.col("doc_id") % 10 == 3  # both splits whole: together they are the table
-    return leakage.cross_split_spans(docs.filter(~val), docs.filter(val), "doc_id")
+    split = docs.withColumn("split", _by_id(docs))
+    return leakage.cross_split_spans(split.filter("split = 'train'"), split.filter("split = 'val'"), "doc_id")
 
 
 _OVERLAP = f"""
@@ -557,9 +562,9 @@ def _(docs, labels):
     return evidence.source_accounting(docs, rows.filter("reason is not null"), rows.filter("reason is null"))
 
 
-@_query("cross_split_digests", "documents", sql=f"select sha256({_N4}) as digest from documents group by 1 having count(distinct case when doc_id % 10 = 3 then 'val' else 'train' end) > 1")
+@_query("cross_split_digests", "documents", sql=f"select sha256({_N4}) as digest from documents group by 1 having count(distinct {_VAL}) > 1")
 def _(docs):
-    return evidence.cross_split(docs.select(text.digest(F.col("text")).alias("digest"), F.when(F.col("doc_id") % 10 == 3, "val").otherwise("train").alias("split")), "digest")
+    return evidence.cross_split(docs.select(text.digest(F.col("text")).alias("digest"), _by_id(docs).alias("split")), "digest")
 
 
 @_query("shared_splits", "documents", sql="""
