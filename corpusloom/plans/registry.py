@@ -56,7 +56,7 @@ def _(docs):
     return docs.select("doc_id", text.digest(F.col("text")).alias("digest"), text.content_hash(F.col("text")).alias("content_hash"), text.doc_key(F.col("source"), F.col("text")).alias("doc_key"), F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-_FLAT = rf"trim(regexp_replace(regexp_replace(translate(nfc_normalize(text), '‐‑‒–−‘’ʼ“”', '-----’’’""'), '[\x00-\x08\x0b-\x1f\x7f-\x9f]', ' ', 'g'), '(?:\s|{_S})+', ' ', 'g'))"
+_FLAT = rf"""regexp_replace(regexp_replace(regexp_replace(translate(nfc_normalize(text), '‐‑‒–−‘’ʼ“”', '-----’’’""'), '[\x00-\x08\x0b-\x1f\x7f-\x9f]', ' ', 'g'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"""
 
 
 @_query("normalized_forms", "documents", sql=rf"""
