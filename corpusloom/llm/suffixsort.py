@@ -111,46 +111,62 @@ def match(records: list[tuple], window: int = WINDOW) -> list[np.ndarray]:
     """For each record, which of its windows also occur in a record of a smaller id, or before in the same row."""
     m = len(records)
     back = window - GRAM
-    ahead, behind = np.zeros((m, window), np.uint8), np.zeros((m, back), np.uint8)
     at = np.array([r[4] for r in records], np.int64)
     lo, hi = np.array([r[5] for r in records], np.int64), np.array([r[6] for r in records], np.int64)
-    for j, (_, _, _, _, a, first, _, part) in enumerate(records):
-        raw = np.frombuffer(part, np.uint8)
-        front, tail = raw[: a - first][::-1], raw[a - first :]
-        ahead[j, : len(tail)], behind[j, : len(front)] = tail, front
-    classes = []
-    for table in (ahead, behind):
-        order = deep_shallow(table)
-        lcp = common_prefixes(table, order)
-        classes.append((order, lcp))
-    ids = np.array([r[2] for r in records], np.int64)
-    rows = np.array([r[3] for r in records], np.int64)
-    doc = np.unique(np.stack([ids, rows], 1), axis=0, return_inverse=True)[1].reshape(-1)
     ends = np.cumsum(hi - lo + 1)
     base = np.r_[0, ends[:-1]]
     flat = np.zeros(int(ends[-1]) if m else 0, bool)
-    rank = np.lexsort((at, ids))  # by id and place
+    ids = np.array([r[2] for r in records], np.int64)
+    rows = np.array([r[3] for r in records], np.int64)
+    classes, longest = [], np.zeros(m, np.int64)
+    for table in _tables(records, at, lo, window, back):
+        order = deep_shallow(table)
+        lcp = common_prefixes(table, order)
+        classes.append((order, lcp))
+        longest[order] += np.maximum(lcp, np.r_[lcp[1:], 0][: len(lcp)])
+    # a window needs its length in common with another record, before and behind the anchor together
+    some = np.flatnonzero(longest >= window)
+    rank = some[np.lexsort((at[some], ids[some]))]  # by id and place
+    before = at - lo
+    least = at - hi
     for i in range(back + 1):  # windows with i bytes before the anchor
-        use = rank[(at[rank] - hi[rank] <= i) & (i <= at[rank] - lo[rank])]
+        use = rank[(least[rank] <= i) & (i <= before[rank])]
         if len(use) < 2:
             continue
-        key = np.empty((2, m), np.int64)
-        for c, depth in ((0, window - i), (1, i)):
-            order, lcp = classes[c]
-            key[c, order] = np.cumsum(lcp < depth)
-        both = key[0, use] * (m + 1) + key[1, use]
-        _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-        head = use[first][inverse]
-        # the first of the class precedes, unless it is the window itself or one of another row with the same id
-        dup = (head != use) & ((ids[head] < ids[use]) | (doc[head] == doc[use]))
-        odd = (head != use) & ~dup
-        for j in use[odd].tolist():  # several rows of one id: look for an earlier window of the same row
-            same = use[(both == both[use == j][0]) & (doc[use] == doc[j]) & (at[use] < at[j])]
+        both = np.zeros(len(use), np.int64)
+        for (order, lcp), depth in zip(classes, (window - i, i), strict=True):
+            key = np.empty(m, np.int64)
+            key[order] = np.cumsum(lcp < depth)
+            both = both * (m + 1) + key[use]
+        by = np.argsort(both, kind="stable")
+        new = np.r_[True, both[by][1:] != both[by][:-1]]
+        if new.all():
+            continue
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        here, head = use[by], use[by[first]]
+        other = here != head
+        # the first of the class precedes, unless it stands in another row of the same id
+        dup = other & ((ids[head] < ids[here]) | (rows[head] == rows[here]))
+        for x in np.flatnonzero(other & ~dup).tolist():  # look for an earlier window of the same row
+            j = here[x]
+            same = here[(first == first[x]) & (ids[here] == ids[j]) & (rows[here] == rows[j]) & (at[here] < at[j])]
             if len(same):
-                flat[base[j] + at[j] - i - lo[j]] = True
-        hit = use[dup]
-        flat[base[hit] + at[hit] - i - lo[hit]] = True
-    return np.split(flat, ends[:-1]) if m else []
+                flat[base[j] + before[j] - i] = True
+        hit = here[dup]
+        flat[base[hit] + before[hit] - i] = True
+    return [flat[a:b] for a, b in zip(base.tolist(), ends.tolist(), strict=True)]
+
+
+def _tables(records: list[tuple], at: np.ndarray, lo: np.ndarray, window: int, back: int):
+    """The bytes from each anchor on, and those before it in reverse, as tables that are filled up with zeros."""
+    sizes = np.array([len(r[7]) for r in records], np.int64)
+    start = np.r_[0, np.cumsum(sizes)[:-1]]
+    text = np.frombuffer(b"".join(r[7] for r in records) + b"\0", np.uint8)
+    middle = (start + at - lo)[:, None]
+    place = middle + np.arange(window)
+    yield np.where(place < (start + sizes)[:, None], text[np.minimum(place, len(text) - 1)], 0).astype(np.uint8)
+    place = middle - 1 - np.arange(back)
+    yield np.where(place >= start[:, None], text[np.maximum(place, 0)], 0).astype(np.uint8)
 
 
 class _Bytes:
@@ -158,6 +174,10 @@ class _Bytes:
     def symbols(text: bytes) -> bytes:
         return text
 
+    @staticmethod
+    def pieces(text: bytes):
+        return lambda a, b: text[a:b]
+
     @staticmethod
     def join(text: bytes, spans: list[list[int]]) -> bytes:
         out, at = [], 0
@@ -168,7 +188,7 @@ class _Bytes:
 
 
 def _reader():
-    return lambda text: (np.frombuffer(text, np.uint8), lambda a, b: text[a:b])
+    return lambda text: np.frombuffer(text, np.uint8)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW) -> DataFrame:
