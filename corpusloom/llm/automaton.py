@@ -84,12 +84,12 @@ class SuffixAutomaton:
 
 def match(records: list[tuple], window: int = WINDOW) -> list[np.ndarray]:
     """For each record, which of its windows also occur in a record of a smaller id, or before in the same row. Records come
-    sorted by key, id and place."""
+    sorted by key, salt, id and place."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(records):
         end = at
-        while end < len(records) and records[end][0] == records[at][0]:
+        while end < len(records) and records[end][:2] == records[at][:2]:
             end += 1
         out += _shard(records[at:end], window)
         at = end
@@ -142,6 +142,11 @@ class _Words:
     def symbols(text: bytes) -> list[bytes]:
         return text.split()
 
+    @staticmethod
+    def pieces(text: bytes):
+        words = text.split()
+        return lambda a, b: b" ".join(words[a:b])
+
     @staticmethod
     def join(words: list[bytes], spans: list[list[int]]) -> bytes:
         out, at = [], 0
@@ -155,8 +160,7 @@ def _reader():
     known = Words()
 
     def read(text: bytes):
-        words = text.split()
-        return known.hashes(words), lambda a, b: b" ".join(words[a:b])
+        return known.hashes(text.split())
 
     return read
 

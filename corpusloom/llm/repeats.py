@@ -11,10 +11,12 @@ id don't precede each other, so equal rows of one id both stay. Null texts count
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ _P = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 #: Records of one hash beyond which they are compared in parts first, and the number of parts.
 HOT, SALTS = 500, 16
+_SIDE = 1 << 15
+_RUN = re.compile(b"\1+")
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -69,75 +73,85 @@ def anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return at[first], first, np.r_[first[1:], n] - 1
 
 
-def symbols_of_bytes(text: bytes) -> np.ndarray:
-    return np.frombuffer(text, np.uint8)
-
-
 def remove(
     df: DataFrame, id_col: str, text_col: str, *, window: int, k: int, reader: Callable, matcher: Callable, cutter: Callable
 ) -> DataFrame:
     """doc_id, n, n_removed, n_spans and kept (bytes) of each row of df.
 
-    reader() gives a function from a text to (symbols as numbers, slice of them as bytes). matcher takes the records of whole groups
-    of one hash and yields (record number, repeated windows). cutter joins what stays of a text.
+    reader() gives a function from a text to its symbols as numbers. matcher takes the records of whole groups of one hash and salt,
+    and gives for each an array of which of its windows repeat. cutter slices a text's symbols and joins what stays of them.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
     width = window - k + 1
     doc_id = F.coalesce(col(id_col).cast("long"), F.lit(_LAST))
     docs = df.select(doc_id.alias("doc_id"), col(id_col).isNull().alias("no_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "no_id", F.hash("text").alias("row"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    slim = docs.select("doc_id", "row", "h")
-    shared = slim.groupBy("row", "h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-    copies = scratch.cut(slim.join(shared, ["row", "h"]).filter("doc_id > first_id").select("doc_id", "row").distinct(), "copies")
+    docs = docs.select("doc_id", "no_id", F.hash("text").alias("hash"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    slim = scratch.cut(docs.select("doc_id", "hash", "h"), "slim")
+    # row tells texts of one id apart; it is 0 where an id has one text, which costs nothing in a shuffle. Not a literal, which
+    # would be folded out of the partitioning, so that the texts would be dealt out again for each join
+    none = F.col("hash").bitwiseAND(F.lit(0))
+    several = scratch.cut(slim.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("doc_id", F.lit(True).alias("several")), "several")
+    numbered = lambda d: d.withColumn("row", none) if not any_several else d.join(small(several), "doc_id", "left").withColumn("row", F.when(F.col("several"), F.col("hash")).otherwise(none)).drop("several")
+    any_several = bool(several.limit(1).count())
+    docs, slim = numbered(docs), numbered(slim)
+    shared = slim.groupBy("hash", "h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
+    copies = scratch.cut(slim.join(shared, ["hash", "h"]).filter("doc_id > first_id").select("doc_id", "row").distinct(), "copies")
     held = small(copies)
     own = docs.join(held, ["doc_id", "row"], "left_anti").select("doc_id", "row", "text")
 
     def find(batches):
         read = reader()
         for batch in batches:
-            keys, ids, rows, at = [], [], [], []
+            keys, ids, rows, at, spans = [], [], [], [], []
             for d, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = gram_hashes(read(text)[0], k)
-                a, _, _ = anchors(h, width)
+                h = gram_hashes(read(text), k)
+                a, first, last = anchors(h, width)
                 if len(a):
-                    keys.append(h[a])
+                    keys.append(h[a] >> np.uint64(16))  # 48 bits: a chance meeting costs a comparison only
                     at.append(a)
+                    spans.append((a - first) * _SIDE + (last - a + width))
                     ids.append(np.full(len(a), d, np.int64))
                     rows.append(np.full(len(a), r, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(at).astype(np.int32))], names=["key", "doc_id", "row", "at"])
+                made = (np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(rows), np.concatenate(at).astype(np.int32), np.concatenate(spans).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "doc_id", "row", "at", "span"])
 
-    marks = own.mapInArrow(find, "key long, doc_id long, row int, at int")
-    often = marks.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    places = marks.join(often, "key").groupBy("doc_id", "row").agg(F.collect_list("at").alias("ats"), F.collect_list(F.when(F.col("c") > HOT, F.col("at"))).alias("hot"))
-    dealt = docs.repartition("doc_id", "row")  # one exchange of the texts, used here and at the end
+    marks = scratch.cut(own.mapInArrow(find, "key long, doc_id long, row int, at int, span int"), "marks")
+    often = marks.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
+    places = marks.join(often.hint("shuffle_hash"), "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "span", "hot")).alias("places"))
+    # one exchange of the texts: the same columns are dealt out here and at the end, so that Spark uses it twice
+    dealt = docs.select("doc_id", "no_id", "row", "text").repartition("doc_id", "row")
 
     def record(batches):
         schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
 
-        def rows():
-            read = reader()
-            for d, r, text, ats, hot in rows_of(batches, "doc_id", "row", "text", "ats", "hot"):
-                symbols, piece = read(text)
-                h = gram_hashes(symbols, k)
-                a, first, last = anchors(h, width)
-                hot = set(hot)
-                for j in np.flatnonzero(np.isin(a, np.array(ats))).tolist():
-                    p, lo, hi = int(a[j]), int(first[j]), int(last[j])
-                    yield int(h[p].view(np.int64)), 1 + d % SALTS if p in hot else 0, d, r, p, lo, hi, piece(lo, hi + window)
-
-        return batches_of(rows(), schema, size=20_000)
+        for batch in batches:
+            places = batch.column("places")
+            at_row, each = places.offsets.to_numpy(), places.flatten()  # columns of all rows' places
+            key, at, span, hot = (each.field(n).to_numpy(zero_copy_only=False) for n in ("key", "at", "span", "hot"))
+            first = at_row[:-1] - at_row[0]
+            count = np.diff(at_row)
+            lo, hi = at - span // _SIDE, at + span % _SIDE - width
+            ids, rows = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
+            texts = batch.column("text")
+            for start, end in _runs(count, 20_000):
+                a, b = int(first[start]), int(first[end - 1] + count[end - 1])
+                parts = []
+                for j in range(start, end):
+                    piece, x, y = cutter.pieces(texts[j].as_py()), int(first[j]), int(first[j] + count[j])
+                    parts += [piece(p, q) for p, q in zip(lo[x:y].tolist(), (hi[x:y] + window).tolist(), strict=True)]
+                d = np.repeat(ids[start:end], count[start:end])
+                salt = np.where(hot[a:b], 1 + d % SALTS, 0)
+                made = (key[a:b], salt, d, np.repeat(rows[start:end], count[start:end]), at[a:b], lo[a:b], hi[a:b], parts)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, schema.types, strict=True)], schema=schema)
 
     layout = "key long, salt int, doc_id long, row int, at int, lo int, hi int, part binary"
-    records = dealt.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "ats", "hot").mapInArrow(record, layout)
-    # what else a hot hash holds is compared within its salted part; the rest, and what is left of the parts, by hash alone
-    found = scratch.cut(_compared(records.filter("salt > 0"), ["key", "salt"], matcher, window), "hot")
-    left = found.filter("part is not null").select("key", F.lit(0).alias("salt"), "doc_id", "row", "at", "lo", "hi", "part")
-    rest = _compared(records.filter("salt = 0").union(left), ["key"], matcher, window)
-    spans = found.filter("part is null").union(rest.filter("part is null")).select("doc_id", "row", "lo", "hi")
-    taken = scratch.cut(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "taken")
-    whole = dealt.join(copies.select("doc_id", "row", F.lit(True).alias("copy")), ["doc_id", "row"], "left").join(taken, ["doc_id", "row"], "left")
+    records = dealt.join(places.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "no_id", "row", "text", "places").mapInArrow(record, layout)
+    # records of a hot hash are compared within their salted part; what is left of the parts, by hash alone
+    found = _compared(_compared(records, matcher, window), matcher, window)
+    taken = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    whole = dealt.join(copies.select("doc_id", "row", F.lit(True).alias("copy")).hint("shuffle_hash"), ["doc_id", "row"], "left").join(taken.hint("shuffle_hash"), ["doc_id", "row"], "left")
     id_type = df.select(col(id_col)).schema[0].dataType
 
     def cut(batches):
@@ -161,46 +175,70 @@ def remove(
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).cast(id_type).alias("doc_id"), "n", "n_removed", "n_spans", "kept")
 
 
-def _compared(records: DataFrame, keys: list[str], matcher: Callable, window: int) -> DataFrame:
-    """Rows with null part: (doc_id, row, lo, hi) symbols that repeat. Other rows: records with windows that don't."""
+def _compared(records: DataFrame, matcher: Callable, window: int) -> DataFrame:
+    """Rows with a null part say that the symbols lo to hi of (doc_id, row) repeat, and pass through. The others are records; those
+    of one key and salt are compared, and if they are salted, those with windows that don't repeat come back with salt 0."""
+    layout = "key long, salt int, doc_id long, row int, at int, lo int, hi int, part binary"
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
+        schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
+
+        passed: list[pa.RecordBatch] = []
+
+        def to_compare():
+            for batch in batches:
+                done = pc.is_null(batch.column("part"))
+                if pc.any(done).as_py():
+                    passed.append(batch.filter(done))
+                    batch = batch.filter(pc.invert(done))
+                yield batch
 
         def rows():
-            for group in _blocks(rows_of(batches, *keys, "doc_id", "row", "at", "lo", "hi", "part"), len(keys)):
-                for rec, repeated in zip(group, matcher(group, window), strict=True):
-                    key, _, d, r, at, lo, hi, part = rec
-                    n = hi - lo + 1
-                    if repeated is None or not repeated.any():
-                        yield key, d, r, at, lo, hi, part
-                        continue
-                    edge = np.diff(np.r_[0, repeated.astype(np.int8), 0])
-                    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                        yield key, d, r, at, lo + a, lo + b - 1 + window, None
-                    if int(repeated.sum()) < n:
-                        yield key, d, r, at, lo, hi, part
-
-        return batches_of(rows(), schema, size=20_000)
-
-    near = records.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "at", "row")
-    return near.select(*keys, "doc_id", "row", "at", "lo", "hi", "part").mapInArrow(run, "key long, doc_id long, row int, at int, lo int, hi int, part binary")
-
-
-def _blocks(rows: Iterator[tuple], n_keys: int, weight: int = 8 << 20) -> Iterator[list[tuple]]:
-    """Whole groups of equal keys, several together up to weight bytes; records are (key, keys, doc_id, row, at, lo, hi, part)."""
+            for group in _blocks(rows_of(to_compare(), "key", "salt", "doc_id", "row", "at", "lo", "hi", "part")):
+                records = [(r[0], *r[1:]) for r in group]
+                for rec, repeated in zip(records, matcher(records, window), strict=True):
+                    key, salt, d, r, at, lo, hi, part = rec
+                    marks = repeated.tobytes()  # a byte for each window
+                    if salt and b"\0" in marks:
+                        yield key, 0, d, r, at, lo, hi, part
+                    for m in _RUN.finditer(marks):
+                        yield d, 0, d, r, at, lo + m.start(), lo + m.end() - 1 + window, None  # its key spreads it
+
+        for made in batches_of(rows(), schema, size=20_000):
+            yield made
+            while passed:
+                yield passed.pop()
+        yield from passed
+
+    near = records.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "at", "row")
+    return near.mapInArrow(run, layout)
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to about most, or of one row."""
+    start = total = 0
+    for j, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield start, j
+            start, total = j, 0
+        total += n
+    if len(sizes):
+        yield start, len(sizes)
+
+
+def _blocks(rows: Iterator[tuple], weight: int = 8 << 20) -> Iterator[list[tuple]]:
+    """Whole groups of one key and salt, several together up to weight bytes."""
     block: list[tuple] = []
     size, last, before = 0, None, None
     for r in rows:
-        key = r[:n_keys]
-        if r[: n_keys + 3] == before:  # a row that the table repeats
+        if r[:5] == before:  # a row that the table repeats: (key, salt, doc_id, row, at)
             continue
-        before = r[: n_keys + 3]
-        if key != last and size >= weight:
+        before = r[:5]
+        if r[:2] != last and size >= weight:
             yield block
             block, size = [], 0
-        last = key
-        block.append((r[0], key, *r[n_keys:]))
+        last = r[:2]
+        block.append(r)
         size += len(r[-1]) + 200
     if block:
         yield block
