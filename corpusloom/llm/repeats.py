@@ -117,7 +117,8 @@ def remove(
                 made = (np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(rows), np.concatenate(at).astype(np.int32), np.concatenate(spans).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "doc_id", "row", "at", "span"])
 
-    marks = scratch.cut(own.mapInArrow(find, "key long, doc_id long, row int, at int, span int"), "marks")
+    # found twice, as a table of all anchors would take half the input's size on disk
+    marks = own.mapInArrow(find, "key long, doc_id long, row int, at int, span int")
     often = marks.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
     places = marks.join(often.hint("shuffle_hash"), "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "span", "hot")).alias("places"))
     # one exchange of the texts: the same columns are dealt out here and at the end, so that Spark uses it twice
