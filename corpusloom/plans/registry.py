@@ -272,7 +272,10 @@ def _(docs):
 @_query("near_dup_kept", "documents")
 def _(docs):
     cut = cutter(docs.sparkSession)
-    return dedup.first_independent(docs.select("doc_id"), cut(dedup.shingle_pairs(docs, "doc_id", "text").select("a", "b")), cut).select(F.col("id").alias("doc_id"), "kept")
+    kept = dedup.first_independent(docs.select("doc_id"), cut(dedup.shingle_pairs(docs, "doc_id", "text").select("a", "b")), cut)
+    # whatever drops the first of a class has the same similarity to its other members, and so has the first itself
+    copies = cut(dedup.shingle_copies(docs, "doc_id", "text").select(F.col("b").alias("id")).distinct()).withColumn("copy", F.lit(True))
+    return kept.join(copies, "id", "left").select(F.col("id").alias("doc_id"), (F.col("kept") & F.col("copy").isNull()).alias("kept"))
 
 
 @_query("similarity_histogram", "documents", sql=f"with {_SETS} select round(jaccard, 2) as bucket, count(*) as count from pairs group by 1")

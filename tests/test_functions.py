@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import evals, scoring, text, urls
 from corpusloom.operators import conversations, dedup, leakage, metrics, mixture, outcomes
-from corpusloom.plans import curation
+from corpusloom.plans import curation, registry
 from corpusloom.plans.scratch import cutter
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming import packing
@@ -127,6 +127,51 @@ def test_first_independent_set(spark):
         assert sorted(r.id for r in got.filter("kept").collect()) == kept
 
 
+def test_first_independent_set_in_rounds_and_on_a_long_chain(spark):
+    rnd = random.Random(7)
+    edges = sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(60)})
+    kept = []
+    for i in range(40):
+        if not any((j, i) in edges for j in kept):
+            kept.append(i)
+    for alone in (0, 20):
+        got = dedup.first_independent(spark.range(40), spark.createDataFrame(edges, "a long, b long"), cutter(spark), alone=alone)
+        assert sorted(r.id for r in got.filter("kept").collect()) == kept
+    chain = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = dedup.first_independent(spark.range(1002), chain, cutter(spark))
+    assert sorted(r.id for r in got.filter("kept").collect()) == [*range(0, 1001, 2), 1001]
+
+
+def near_duplicates_fixture():
+    """A chain in which only neighbours are similar, copies of its members in other letter case, short texts, and texts of their own."""
+    word = [f"w{i}" for i in range(2000)]
+    rows = [(2 * i, " ".join(word[7 * i : 7 * i + 100])) for i in range(230)]
+    rows += [(2 * i + 1, t.upper() + "!") for i, (_, t) in enumerate(rows) if i % 3 == 0]
+    rows += [(900 + i, rows[i][1].replace(" ", ", ")) for i in (0, 1, 5, 5)]
+    return [*dict(rows).items(), (950, "too short"), (951, "Too short"), (952, None), (953, "")]
+
+
+def brute_shingles(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        grams = frozenset(" ".join(w[j : j + 5]) for j in range(len(w) - 4))
+        if len(grams) >= 20:
+            sets[i] = grams
+    return sets
+
+
+def test_near_dup_kept_against_greedy(spark, tmp_path):
+    rows = near_duplicates_fixture()
+    sets, kept = brute_shingles(rows), []
+    for i in sorted(sets):
+        if not any(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in kept):
+            kept.append(i)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.kept for r in registry.QUERIES["near_dup_kept"](spark, str(tmp_path)).collect()}
+    assert got == {i: i not in sets or i in kept for i, _ in rows}
+
+
 def test_caps_and_splits(spark):
     rnd = random.Random(4)
     groups = [(f"g{i}", f"s{i % 4}", None, rnd.randrange(1, 500)) for i in range(200)]
