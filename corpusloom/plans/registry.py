@@ -253,7 +253,8 @@ def _(docs):
 
 @_query("simhash_pairs", "documents")
 def _(docs):
-    return dedup.hamming_pairs(docs.select("doc_id", dedup.simhash(F.col("text")).alias("fp")), "doc_id", "fp")
+    prints = cutter(docs.sparkSession)(docs.select("doc_id", dedup.simhash(F.col("text")).alias("fp")))
+    return dedup.hamming_pairs(prints, "doc_id", "fp").unionByName(dedup.fingerprint_copies(prints, "doc_id", "fp"))
 
 
 _SETS = f"""

@@ -114,6 +114,26 @@ def test_hamming_and_simhash(spark):
     assert column(spark, texts, dedup.simhash) == [simhash(t) for t in texts]
 
 
+def test_simhash_pairs_of_all_rows(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = [f"word{rnd.randrange(10**6)}" for _ in range(40)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, ", ".join(reversed(w)).upper())][: 2 if i % 2 else 1] + [(3 * i + 2, " ".join([*w[1:], "other"]))]
+    rows += [(300, None), (301, ""), (302, "aa b")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.a, r.b): r.distance for r in registry.QUERIES["simhash_pairs"](spark, str(tmp_path)).collect()}
+    prints = dict(zip((i for i, _ in rows), (x & (1 << 64) - 1 for x in column(spark, [t for _, t in rows], dedup.simhash)), strict=True))
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i], i)
+    ids = sorted(first.values())
+    near = {(a, b): (prints[a] ^ prints[b]).bit_count() for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 6}
+    assert got == near | {(first[f], i): 0 for i, f in prints.items() if first[f] != i} and (300, 302) in got and (3, 4) in got
+    # no link between any two rows is lost: directly, or through the first of the fingerprint
+    assert all(first[prints[a]] == first[prints[b]] or tuple(sorted((first[prints[a]], first[prints[b]]))) in got for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= 6)
+
+
 def test_first_independent_set(spark):
     rnd = random.Random(3)
     for _ in range(3):
