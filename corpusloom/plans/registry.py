@@ -284,6 +284,21 @@ def _(docs):
     return dedup.shingle_pairs(docs, "doc_id", "text").groupBy(F.round("jaccard", 2).alias("bucket")).count()
 
 
+#: The links of all documents: the pairs of the first documents of equal sets, and each other document with the first of its set.
+_LINKS = f"""{_SETS},
+links as (select a, b, jaccard from pairs union all select a, doc_id, 1.0::double from (select doc_id, min(doc_id) over (partition by k) as a from n) where a < doc_id)"""
+
+
+@_query("shingle_links", "documents", sql=f"with {_LINKS} select a, b, round(jaccard, 9) as jaccard from links")
+def _(docs):
+    return dedup.shingle_links(docs, "doc_id", "text").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@_query("similarity_histogram_links", "documents", sql=f"with {_LINKS} select round(jaccard, 2) as bucket, count(*) as count from links group by 1")
+def _(docs):
+    return dedup.shingle_links(docs, "doc_id", "text").groupBy(F.round("jaccard", 2).alias("bucket")).count()
+
+
 # leakage
 
 

@@ -192,6 +192,25 @@ def test_near_dup_kept_against_greedy(spark, tmp_path):
     assert got == {i: i not in sets or i in kept for i, _ in rows}
 
 
+def test_shingle_links_of_all_documents(spark, tmp_path):
+    rows = near_duplicates_fixture()
+    sets, first = brute_shingles(rows), {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(first[s], i): 1.0 for i, s in sets.items() if first[s] != i}
+    for x, a in first.items():
+        for y, b in first.items():
+            if a < b and 100 * len(x & y) >= 85 * len(x | y):
+                want[a, b] = round(len(x & y) / len(x | y), 9)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["shingle_links"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want and 1.0 in want.values()
+    counts = {}
+    for j in want.values():
+        counts[round(j, 2)] = counts.get(round(j, 2), 0) + 1
+    assert dict(map(tuple, registry.QUERIES["similarity_histogram_links"](spark, str(tmp_path)).collect())) == counts
+
+
 def test_caps_and_splits(spark):
     rnd = random.Random(4)
     groups = [(f"g{i}", f"s{i % 4}", None, rnd.randrange(1, 500)) for i in range(200)]
