@@ -3,7 +3,8 @@
 A surrogate is drawn from an HMAC of the key, the kind and the entity's canonical form, so one entity has one surrogate in all
 documents (coreference) and nobody without the key can invert it. Names are replaced by part, so that a surname alone and
 a full name stay consistent. A corpus-wide check keeps distinct entities distinct: of entities that draw the same surrogate, and of those that draw
-an entity of the corpus, all but one draw again, until none is left; only those second draws travel back to the documents.
+an entity of the corpus, all but one draw again, until none is left; only those second draws travel back to the documents. Names and mail
+addresses get longer with the attempts; private IP addresses move to 10.x; what still collides in a space of fixed size gets a free place of it.
 
 Null stays null, empty stays empty; repeated rows get the same replacements; columns other than id and text are kept by replace_private().
 """
@@ -18,6 +19,7 @@ import re
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -118,14 +120,55 @@ class _Draw:
         return "".join(syllables[self.below(len(syllables))] for _ in range(parts)) + ends[self.below(len(ends))]
 
 
+#: From this attempt on, addresses of a small private range are drawn from 10.x.
+WIDER = 8
+#: attempt - PLACE is a place in the entity's space (space_of), from 0.
+PLACE = 1_000
+_HOSTS = [x for x in range(11, 224) if x not in (127, 172, 192)]
+
+
+def _fixed_octets(canonical: str) -> int:
+    o = canonical.split(".")
+    return 1 if o[0] in ("10", "127") else 2 if o[:2] == ["192", "168"] or o[0] == "172" and 16 <= int(o[1]) < 32 else 0
+
+
+def space_of(kind: str, canonical: str) -> tuple[str, int] | None:
+    """Name and size of the entity's space of surrogates if that is fixed and small enough to fill up."""
+    if kind == "ssn":
+        return "", 100 * 99 * 9999
+    if kind == "ip" and _fixed_octets(canonical):
+        return ("127", 1 << 24) if canonical.startswith("127.") else ("private", (1 << 24) + (1 << 20) + (1 << 16))
+    if kind == "phone" and len(canonical) <= 10:
+        return str(len(canonical)), 8 * 10 ** (len(canonical) - 1)
+    if kind == "phone":
+        return canonical[: len(canonical) - 10] + "+", 8 * 10**9
+    return None
+
+
+def place(kind: str, space: str, i: int) -> str:
+    """The i-th surrogate of a space."""
+    if kind == "ssn":
+        return f"9{i // (99 * 9999):02d}{1 + i // 9999 % 99:02d}{1 + i % 9999:04d}"
+    if kind == "phone":
+        keep, n = (space[:-1], 10) if space.endswith("+") else ("", int(space))
+        return f"{keep}{i + 2 * 10 ** (n - 1):0{n}d}"
+    if space == "127":
+        i += 127 << 24
+    else:
+        i += 10 << 24 if i < 1 << 24 else (172 << 24) + (16 << 16) - (1 << 24) if i < (1 << 24) + (1 << 20) else (192 << 24) + (168 << 16) - (1 << 24) - (1 << 20)
+    return ".".join(str(i >> b & 255) for b in (24, 16, 8, 0))
+
+
 def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     """The canonical form of the surrogate."""
+    if attempt >= PLACE:
+        return place(kind, space_of(kind, canonical)[0], attempt - PLACE)
     d = _Draw(key, kind, canonical, str(attempt))
     if kind == "email":
         domain = canonical.split("@")[1]
         end = domain.rsplit(".", 1)[1]
         own = _Draw(key, "domain", domain)  # one domain stays one domain
-        return f"{d.word('latin', 3)}.{d.below(100_000)}@{own.word('latin', 3)}{own.below(1000)}.example.{end}"
+        return f"{d.word('latin', 3)}.{d.below(100_000 * 10 ** (attempt // 3))}@{own.word('latin', 3)}{own.below(1000)}.example.{end}"
     if kind == "iban":
         body = "".join(str(d.below(10)) if c.isdigit() else chr(65 + d.below(26)) for c in canonical[4:])
         return canonical[:2] + f"{98 - _iban_number(canonical[:2] + '00' + body) % 97:02d}" + body
@@ -136,9 +179,8 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     if kind == "ssn":
         return f"9{d.below(100):02d}{1 + d.below(99):02d}{1 + d.below(9999):04d}"
     if kind == "ip":
-        o = canonical.split(".")
-        fixed = 1 if o[0] in ("10", "127") else 2 if o[:2] == ["192", "168"] or o[0] == "172" and 16 <= int(o[1]) < 32 else 0
-        first = o[:fixed] or [str([x for x in range(11, 224) if x not in (127, 172, 192)][d.below(210)])]
+        fixed = _fixed_octets(canonical)
+        first = ["10"] if fixed == 2 and attempt >= WIDER else canonical.split(".")[:fixed] or [str(_HOSTS[d.below(210)])]
         return ".".join(first + [str(d.below(256)) for _ in range(4 - len(first))])
     if kind == "phone":
         keep = max(0, len(canonical) - 10)  # the country's code
@@ -148,7 +190,10 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         gender, script, _ = canonical.split(":")
         names = GIVEN[gender, script]
         name = names[d.below(len(names))]
-        return f"{gender}:{script}:{name.lower()}" if attempt < 2 else f"{gender}:{script}:{name.lower()}-{names[d.below(len(names))].lower()}"
+        if attempt < 2:
+            return f"{gender}:{script}:{name.lower()}"
+        # the first part has the gender; the second grows without bound
+        return f"{gender}:{script}:{name.lower()}-{names[d.below(len(names))].lower() if attempt < 4 else d.word(script, attempt // 2)}"
     script = canonical.split(":")[0]
     return f"{script}:{d.word(script, 2 + d.below(2) + attempt // 3)}"
 
@@ -185,7 +230,7 @@ def _drawn(units: DataFrame, key: bytes) -> DataFrame:
 def second_draws(units: DataFrame, key: bytes, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """(kind, canonical, attempt) of the entities, of units (kind, canonical), whose first surrogate isn't theirs alone."""
     now = scratch.cut(_drawn(units.withColumn("attempt", F.lit(0)), key), "draws")
-    for _ in range(rounds):
+    for turn in range(rounds):
         # the fewest attempts, then the least hash, keeps a surrogate
         keeper = F.min(F.struct("attempt", F.xxhash64("canonical").alias("h"), "canonical"))["canonical"].alias("keeper")
         shared = now.groupBy("kind", "surrogate").agg(keeper, F.count("*").alias("n")).filter("n > 1").select("kind", "surrogate", "keeper")
@@ -194,10 +239,47 @@ def second_draws(units: DataFrame, key: bytes, scratch: Scratch, rounds: int = 4
         again = scratch.cut(lost.union(real).distinct(), "again")
         if not again.limit(1).count():
             return now.filter("attempt > 0").select("kind", "canonical", "attempt")
+        if turn == rounds - 1:
+            held = now.join(again, ["kind", "canonical"], "left_anti")
+            return held.filter("attempt > 0").select("kind", "canonical", "attempt").unionByName(_placed(units, again, held, key, scratch))
         moved = now.join(again, ["kind", "canonical"], "left_semi").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
         before, now = now, scratch.cut(now.join(again, ["kind", "canonical"], "left_anti").unionByName(_drawn(moved, key)), "draws")
         scratch.drop(before, again)
-    raise RuntimeError("surrogates still collide; the kind's space is too small for its entities")
+    raise ValueError("rounds must be 1 or more")
+
+
+def _nth(kind: str, space: str):
+    @F.pandas_udf("string")
+    def nth(i: pd.Series) -> pd.Series:
+        return pd.Series([place(kind, space, x) for x in i])
+
+    return nth
+
+
+def _placed(units: DataFrame, left: DataFrame, held: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
+    """(kind, canonical, attempt): for the entities left, the first free places of their spaces, in an order that only the key gives."""
+
+    @F.pandas_udf("struct<space string, size long, turn string>")
+    def named(kind: pd.Series, canonical: pd.Series) -> pd.DataFrame:
+        out = [(*(space_of(k, c) or (None, None)), hmac.new(key, f"place\0{k}\0{c}".encode(), hashlib.sha256).hexdigest()) for k, c in zip(kind, canonical, strict=True)]
+        return pd.DataFrame({"space": [o[0] for o in out], "size": pd.Series([o[1] for o in out], dtype="Int64"), "turn": [o[2] for o in out]})
+
+    left = scratch.cut(left.withColumn("_s", named("kind", "canonical")).select("kind", "canonical", "_s.*"), "left")
+    taken = held.select("kind", "surrogate").unionByName(units.select("kind", F.col("canonical").alias("surrogate")))
+    out = None
+    for kind, space, size, n in (tuple(r) for r in left.groupBy("kind", "space", "size").count().collect()):
+        if space is None:
+            raise RuntimeError(f"surrogates of {n} entities of kind {kind} still collide after all rounds")
+        used = taken.filter(F.col("kind") == kind).select("surrogate")
+        # at most used.count() of the first places are taken
+        free = left.sparkSession.range(min(size, n + used.count())).withColumn("surrogate", _nth(kind, space)("id")).join(used, "surrogate", "left_anti").select("id").orderBy("id").limit(n)
+        free = scratch.cut(free.withColumn("r", F.row_number().over(W.orderBy("id"))), "free")
+        if free.count() < n:
+            raise RuntimeError(f"the {size} surrogates of kind {kind} are fewer than the corpus needs besides its own entities")
+        mine = left.filter((F.col("kind") == kind) & (F.col("space") == space)).withColumn("r", F.row_number().over(W.orderBy("turn", "canonical")))
+        some = scratch.cut(mine.join(free, "r").select("kind", "canonical", (F.col("id") + PLACE).cast("int").alias("attempt")), "placed")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def replace_private(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -227,6 +227,35 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(drawn)) == 121 and "m:latin:adam" not in drawn and again
 
 
+def test_surrogates_of_many_names_and_addresses(spark):
+    key = b"k"
+    units = [("given", f"m:latin:name{i}") for i in range(4000)] + [("given", f"f:cyrillic:имя{i}") for i in range(2000)] + [("ip", f"192.168.{i >> 8}.{i & 255}") for i in range(45_000)]
+    df = spark.createDataFrame(units, "kind string, canonical string")
+    again = {(r.kind, r.canonical): r.attempt for r in surrogates.second_draws(df, key, Scratch(spark, "t")).collect()}
+    drawn = {(k, surrogates.draw(key, k, c, again.get((k, c), 0))) for k, c in units}
+    assert len(drawn) == len(units) and not drawn & set(units)
+    assert all(re.fullmatch(r"[mf]:(latin|cyrillic):[^\W\d_]+(-[^\W\d_]+)?" if k == "given" else r"(192\.168|10\.\d+)\.\d+\.\d+", s) for k, s in drawn)
+
+
+def test_surrogates_of_full_spaces_get_free_places(spark):
+    key = b"k"
+    units = [("ip", f"192.168.{i >> 8}.{i & 255}") for i in range(3000)] + [("ip", f"10.0.0.{i}") for i in range(200)] + [("phone", f"{i}") for i in range(2_000_000, 2_003_000)] + [("ssn", f"9{i:08d}") for i in range(10_001, 10_101)]
+    df = spark.createDataFrame(units, "kind string, canonical string")
+    again = {(r.kind, r.canonical): r.attempt for r in surrogates.second_draws(df, key, Scratch(spark, "t"), rounds=1).collect()}
+    assert any(a >= surrogates.PLACE for a in again.values())
+    drawn = {(k, surrogates.draw(key, k, c, again.get((k, c), 0))) for k, c in units}
+    assert len(drawn) == len(units) and not drawn & set(units)
+
+
+def test_places_are_distinct_and_of_their_kind():
+    for kind, canonical in (("ip", "192.168.3.4"), ("ip", "127.0.0.1"), ("phone", "5550100"), ("phone", "15550100999"), ("ssn", "078051120")):
+        space, size = surrogates.space_of(kind, canonical)
+        at = [*range(50), size // 2, (1 << 24) - 1, 1 << 24, size - 2, size - 1] if size > 1 << 24 else [*range(50), size // 2, size - 2, size - 1]
+        got = [surrogates.place(kind, space, i) for i in at]
+        assert len(set(got)) == len(set(at)) and all(len(x) == len(canonical) or kind == "ip" for x in got)
+        assert kind != "ip" or all(surrogates._fixed_octets(x) and max(map(int, x.split("."))) < 256 for x in got)
+
+
 def test_pieces_round_trip_and_scores():
     made = pieces.Encoder(*pieces.load_pieces())
     texts = ["", " ", "a", "Hello  world\n\ttabs▁ and ▁▁ marks", "été größe 漢字 😀\x00", "<s> <unk> <0x41>", " " * 50 + "x", "z" * 3000, " ﻿"]
