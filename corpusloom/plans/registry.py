@@ -543,7 +543,7 @@ def _(docs):
 @_query("best_fit_rows", "conversations")
 def _(turns):
     sizes = turns.groupBy("conv_id").agg(F.sum(F.size(text.plain_words(F.col("text")))).alias("n"))
-    return packing.best_fit(sizes, "conv_id", "n", 2048, 2)
+    return packing.best_fit_or_problem(sizes, "conv_id", "n", 2048, 2)
 
 
 # admission and evidence

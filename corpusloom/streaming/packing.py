@@ -34,7 +34,8 @@ def rank_rows(df: DataFrame, ordinal: str, rank: int, world: int) -> DataFrame:
 
 def best_fit(df: DataFrame, order: str, length: str, capacity: int, world: int = 1, buffer: int = 100) -> DataFrame:
     """(rank, row, conv, at): conversations packed into rows of capacity: from a buffer that is refilled in order, the longest that fits, the first
-    on ties. Sequential within a rank, and streamed through it in batches; ranks run in parallel."""
+    on ties. Sequential within a rank, and streamed through it in batches; ranks run in parallel. Conversations longer than capacity have no
+    row; best_fit_or_problem() returns them too."""
     kind = df.schema[order].dataType.simpleString()
 
     def run(batches):
@@ -71,3 +72,11 @@ def best_fit(df: DataFrame, order: str, length: str, capacity: int, world: int =
 
     ranked = df.select(F.pmod(F.col(order), F.lit(world)).cast("int").alias("_r"), order, length)
     return ranked.repartition(world, "_r").sortWithinPartitions("_r", order).mapInPandas(run, f"rank int, row long, conv {kind}, at long")
+
+
+def best_fit_or_problem(df: DataFrame, order: str, length: str, capacity: int, world: int = 1, buffer: int = 100) -> DataFrame:
+    """(rank, row, conv, at, problem): best_fit, and each conversation longer than capacity with a null row and a problem, since it must be split first."""
+    rank = F.pmod(F.col(order), F.lit(world)).cast("int").alias("rank")
+    said = F.concat(F.lit("exceeds_row_capacity: "), F.col(length).cast("string"), F.lit(f" > {capacity}"))
+    long = df.filter(F.col(length) > capacity).select(rank, F.lit(None).cast("long").alias("row"), F.col(order).alias("conv"), F.lit(None).cast("long").alias("at"), said.alias("problem"))
+    return best_fit(df, order, length, capacity, world, buffer).withColumn("problem", F.lit(None).cast("string")).unionByName(long)

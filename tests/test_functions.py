@@ -278,6 +278,15 @@ def test_packing(spark):
     assert max(totals.values()) <= 10
 
 
+def test_packing_names_conversations_that_fit_no_row(spark, tmp_path):
+    sizes = {0: [100, 1900], 1: [2048], 2: [2000, 49], 3: [5000], 4: [3]}
+    turns = [(c, i, "user", "word " * n) for c, ns in sizes.items() for i, n in enumerate(ns)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv: r for r in registry.QUERIES["best_fit_rows"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(sizes) and all((got[c].row is None) == (sum(n) > 2048) == (got[c].problem is not None) for c, n in sizes.items())
+    assert got[2].problem == "exceeds_row_capacity: 2049 > 2048" and (got[2].rank, got[3].rank) == (0, 1)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("one\n\ntwo\nlines\n \nthree")
