@@ -6,6 +6,7 @@ All are Spark scans, so they split, prune and read any file system that Spark kn
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -128,7 +129,7 @@ def flattened(df: DataFrame, column: str, least: int = 20, skip: tuple[str, ...]
 
 
 def decoded(df: DataFrame, content: str = "content", codecs: tuple[str, ...] = ("utf-8-sig", "cp1251", "koi8-r", "cp866", "utf-16")) -> DataFrame:
-    """df with text and codec: UTF-8 if it is valid, else the codec with the most letters less replacements and odd pairs."""
+    """df with text and codec: UTF-8 if it is valid, else the codec with the most letters less replacements and odd pairs in the whole text."""
 
     @F.pandas_udf("struct<text string, codec string>")
     def best(raws: pd.Series) -> pd.DataFrame:
@@ -142,9 +143,9 @@ def decoded(df: DataFrame, content: str = "content", codecs: tuple[str, ...] = (
             tried = []
             for i, c in enumerate(codecs):
                 text = bytes(raw).decode(c, "replace")
-                letters = sum(ch.isalpha() and (ch.islower() or ch.isupper()) for ch in text[:20_000])
-                swaps = sum(a.islower() and b.isupper() for a, b in zip(text[:20_000], text[1:20_000], strict=False))
-                tried.append((letters - 20 * text[:20_000].count("�") - 5 * swaps, -i, text, c))
+                kinds = text.translate({ord(ch): "l" if ch.islower() else "U" if ch.isupper() else "-" for ch in set(text)})
+                letters = sum(n for ch, n in Counter(text).items() if ch.isalpha() and (ch.islower() or ch.isupper()))
+                tried.append((letters - 20 * text.count("�") - 5 * kinds.count("lU"), -i, text, c))
             out.append(max(tried)[2:])
         return pd.DataFrame(out, columns=["text", "codec"])
 

@@ -313,6 +313,14 @@ def test_readers(spark, tmp_path):
         readers.read_sources(spark, [{"source": "s", "reader": "text", "path": str(tmp_path / "n.tsv"), "sha256": "0"}])
 
 
+def test_codec_is_chosen_on_the_whole_text(spark):
+    preface, body = "An English preface of this book. " * 800, "Прывітанне, як справы? Добры дзень. " * 400
+    assert len(preface) > 20_000
+    raw = spark.createDataFrame([(bytearray((preface + body).encode(c, "replace")), c) for c in ("cp1251", "koi8-r")], "content binary, want string")
+    got = {r.want: (r.codec, r.text) for r in readers.decoded(raw).collect()}
+    assert {c: x[0] for c, x in got.items()} == {c: c for c in got} and got["cp1251"][1] == preface + body and "\ufffd" not in got["koi8-r"][1]
+
+
 def test_gates(spark):
     df = spark.createDataFrame([("bel", "Cyrl", 0.95, "a\nb", ["bel", "rus"]), ("bel", "Latn", 0.99, "a", ["bel", "bel"]), (None, "Cyrl", float("nan"), "a", ["bel"])], "language string, script string, score double, text string, labels array<string>")
     assert [r.upstream_reject for r in readers.script_gate(df, "bel", "Cyrl").collect()] == [None, "upstream_language_gate", "upstream_language_gate"]
