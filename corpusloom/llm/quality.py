@@ -117,18 +117,21 @@ def _sig(z: np.ndarray) -> np.ndarray:
 
 def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_RATED, bits: int = BITS) -> OrdinalModel:
     """ratings: (id, grade 0 .. n_grades - 1). Executors turn the rated texts into features; the driver gets the feature
-    indices of max_rows documents at most (some hundred 4-byte numbers each) and fits."""
+    indices of max_rows rated ids at most (some hundred 4-byte numbers each) and fits. Equal rows of an id count once; if ids have so many
+    different texts that 2 * max_rows are exceeded, those of the least hash of id and text are taken, whatever their grade."""
     rated = ratings.select(col(id_col).alias("doc_id"), F.col("grade").cast("int").alias("grade")).dropna()
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
-    schema = pa.schema([("grade", pa.int32()), ("features", pa.binary())])
+    schema = pa.schema([("grade", pa.int32()), ("h", pa.int64()), ("features", pa.binary())])
 
     def run(batches):
         made = Features(bits)
-        return batches_of(((g, np.sort(made(t)).tobytes()) for g, t in rows_of(batches, "grade", "text")), schema)
+        return batches_of(((g, h, np.sort(made(t)).tobytes()) for g, h, t in rows_of(batches, "grade", "h", "text")), schema)
 
-    got = texts.join(F.broadcast(rated), "doc_id").select("grade", "text").mapInArrow(run, "grade int, features binary").toArrow()
-    pairs = sorted(zip(got["grade"].to_pylist(), got["features"].to_pylist(), strict=True))[: 2 * max_rows]
+    each = texts.join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id", "text"])
+    made = each.select("grade", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "grade int, h long, features binary")
+    got = made.orderBy("h", "features").limit(2 * max_rows).toArrow()
+    pairs = sorted(zip(got["grade"].to_pylist(), got["features"].to_pylist(), strict=True))
     return fit([np.frombuffer(f, np.int32) for _, f in pairs], np.array([g for g, _ in pairs], dtype=np.int64), n_grades, bits=bits)
 
 

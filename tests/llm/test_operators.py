@@ -357,6 +357,19 @@ def test_quality(spark):
     assert sorted(map(tuple, quality.grades_of(rated).collect())) == [(1, 2), (2, 1), (3, 0)]
 
 
+def test_quality_of_repeated_ids_keeps_all_grades(spark, monkeypatch):
+    rows = [(1, f"plain text number {i}") for i in range(60)] + [(1, "same")] * 40 + [(2, "good one"), (3, "good two"), (3, "good two")]
+    ratings = spark.createDataFrame([(1, 0), (2, 2), (3, 2)], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades, *a, **k: seen.append((len(rows), grades.tolist())))
+    quality.fit_ratings(frame(spark, rows), ratings, 3)
+    assert seen[0] == (63, [0] * 61 + [2] * 2)
+    many = [(i % 40 + 10, f"text {i}") for i in range(400)]
+    rated = spark.createDataFrame([(i, 0 if i < 30 else 2) for i in range(10, 50)], "doc_id long, grade int")
+    quality.fit_ratings(frame(spark, many), rated, 3, max_rows=40)
+    assert seen[1][0] == 80 and 15 <= seen[1][1].count(2) <= 65
+
+
 def test_gradient_of_ordinal_fit():
     rnd = np.random.default_rng(0)
     rows = [np.unique(rnd.integers(0, 50, 8)).astype(np.int32) for _ in range(300)]
