@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
-#: A side of a join is broadcast only if its rows, counted before, are at most this many (of a few longs each).
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if its rows and the bytes in them, counted before, are at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Bytes of a batch that goes to a Python worker, and of what a worker remembers between rows.
+BATCH_BYTES, MEMO_BYTES = 8 << 20, 12 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def col(name: str) -> Column:
@@ -20,6 +23,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, or the first name like it that no frame has."""
+    used = {c.lower() for df in frames for c in df.columns}
+    return next(n for n in (name + "_" * i for i in range(len(used) + 1)) if n.lower() not in used)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable, where a repeated expression would be evaluated again and again."""
     return F.transform(F.array(value), body)[0]
@@ -30,6 +39,28 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
+class Memo(dict):
+    """A dictionary that forgets all it holds when that exceeds MEMO_BYTES, by the sizes that put() is told."""
+
+    def __init__(self, most: int = MEMO_BYTES):
+        self.most, self.size = most, 0
+
+    def put(self, key, value, size: int):
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+        self.size += size
+        self[key] = value
+        return value
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers by BATCH_BYTES in this session, unless a smaller bound is set: with long
+    texts, a worker would hold the default of 64 MB several times over."""
+    if int(str(spark.conf.get(_BATCH_CONF, "67108864b")).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset and Spark is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -67,14 +98,24 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count finds it within the bound; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if a count finds its rows and the bytes of its columns within the bounds; otherwise Spark shuffles both sides."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for c, kind in df.dtypes:
+        if kind == "string" or kind == "binary":
+            size = size + F.coalesce(F.octet_length(col(c)), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(col(c)))), F.lit(0))
+    n, total = df.select(size.alias("size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+def rows_of(batches: Iterable[pa.RecordBatch], *names: str, step: int = 500) -> Iterator[tuple]:
+    """The rows of batches as tuples, step rows at a time, as Python's objects take a multiple of the batch."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000, weight: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, col, let, small
+from corpusloom.llm.common import Scratch, col, let, small, unused
 
 SPAN, K = 10, 5
 W = SPAN - K + 1
@@ -106,9 +106,10 @@ def op2_result(df: DataFrame) -> DataFrame:
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that hold a window of a benchmark item, with all columns."""
-    found = contamination(df, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    i, h = unused("_id", df), unused("_hash", df)
+    found = contamination(df, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(i), F.col("row").alias(h)).distinct()
     found = Scratch(df.sparkSession, "clean").cut(found, "hits")
-    same = col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(col(text_col), F.lit(""))) == F.col("_row"))
+    same = col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(col(text_col), F.lit(""))) == F.col(h))
     return df.join(small(found), same, "left_anti")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.llm.common import Scratch, batches_of, col, id_text, rows_of, small
+from corpusloom.llm.common import Memo, Scratch, batches_of, col, id_text, rows_of, small, small_batches, unused
 from corpusloom.llm.graph import components
 
 SYMBOLS = 64
@@ -36,17 +36,11 @@ _A = _RNG.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, 512, dtype=np.uint64)
 
 
-class Words(dict):
+class Words(Memo):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, memory: int = 400_000):
-        self.memory = memory
-
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.memory:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        return self.put(word, xxhash.xxh3_64_intdigest(word), 180 + len(word))
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -123,6 +117,7 @@ def _ids(df: DataFrame, id_col: str):
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, the text's hash, n_shingles, node (null without words) and signature of each row; no shuffle."""
+    small_batches(df.sparkSession)
     kind = _ids(df, id_col)
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
 
@@ -221,9 +216,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = links.union(more)
     final = components(every, scratch)
 
-    comp = nodes.select("node", "least_id").join(final, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
-    least = comp.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_node = comp.join(least, "label").select("node", "component_id")
+    # a component may hold a third of all nodes, so its least id comes by broadcast; nodes in no link are their own
+    comp = scratch.cut(final.join(nodes.select("node", "least_id"), "node"), "comp")
+    least = scratch.cut(comp.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
+    linked = comp.join(small(least), "label").select("node", "component_id")
+    alone = nodes.join(comp.select("node"), "node", "left_anti").select("node", F.col("least_id").alias("component_id"))
+    of_node = linked.unionByName(alone)
     out = signed.join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), "node", "text_hash")
@@ -255,14 +253,16 @@ def op9_result(df: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """df with one document of each group of near-duplicates, with all columns; of rows that repeat an id and its words, one."""
-    found = Scratch(df.sparkSession, "kept").cut(near_duplicates(df, id_col, text_col, shingle=shingle, percent=percent), "found")
+    scratch = Scratch(df.sparkSession, "kept")
+    found = scratch.cut(near_duplicates(df, id_col, text_col, shingle=shingle, percent=percent), "found")
     # of several texts of one id and one set, the one of the least hash stays
     one = found.filter("kept and node is not null").groupBy("doc_id", "node").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count("*").alias("rows"))
     others = found.filter("kept").join(one.filter("least < most").select("doc_id", "node", "least"), ["doc_id", "node"]).filter("text_hash > least")
-    dropped = found.filter("not kept").select("doc_id", "text_hash").union(others.select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    same = col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(col(text_col), F.lit("")).cast("binary")) == F.col("_h"))
+    i, h = unused("_id", df), unused("_hash", df)
+    dropped = found.filter("not kept").select("doc_id", "text_hash").union(others.select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    same = col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(col(text_col), F.lit("")).cast("binary")) == F.col(h))
     out = df.join(small(dropped), same, "left_anti")
-    repeated = one.filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("least").alias("_h"))
+    repeated = one.filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias(i), F.col("least").alias(h))
     if repeated.limit(1).count():
         again = out.join(small(repeated), same, "left_semi").dropDuplicates([id_col, text_col])
         out = out.join(small(repeated), same, "left_anti").union(again)

@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, col, id_text, rows_of
+from corpusloom.llm.common import Memo, batches_of, col, id_text, rows_of, small_batches, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -41,8 +41,7 @@ class Encoder:
     pieces: list[str]
     scores: list[float]
     kinds: list[int]
-    memory: int = 500_000
-    known: dict[str, bytes] = field(default_factory=dict)
+    known: Memo = field(default_factory=Memo)
 
     def __post_init__(self):
         self.byte_id = np.full(256, -1, np.int32)
@@ -156,11 +155,11 @@ class Encoder:
         cut = [self.units.findall(SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
         known = self.known
         new = list(dict.fromkeys(u for us in cut for u in us if u not in known))
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = list(dict.fromkeys(u for us in cut for u in us))
-        known.update(zip(new, self.encode_units(new), strict=True))
-        return [b"".join([known[u] for u in us]) for us in cut]
+        made = dict(zip(new, self.encode_units(new), strict=True))
+        out = [b"".join([known.get(u) or made[u] for u in us]) for us in cut]
+        for u, ids in made.items():
+            known.put(u, ids, 220 + 4 * len(u) + len(ids))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text that was encoded: pieces joined, spaces restored, without the space put before the text."""
@@ -184,6 +183,7 @@ def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     from the ids) and round_trip of each row. The piece table is broadcast; its size is the model's."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model or load_pieces())
     id_type = df.select(col(id_col)).schema[0].dataType
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
@@ -205,32 +205,53 @@ def encode_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return id_text(df, id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_chars long, n_pieces long, n_bytes long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
-def encode_column(df: DataFrame, text_col: str = "text", out_col: str = "piece_ids", *, model: tuple | None = None) -> DataFrame:
-    """df with the piece ids of text_col as array<int> in out_col (replacing one of that name); null for a null text."""
-    held = df.sparkSession.sparkContext.broadcast(model or load_pieces())
+def encode_column(df: DataFrame, text_col: str = "text", out_col: str = "piece_ids", *, model: tuple | None = None, checked_col: str | None = None) -> DataFrame:
+    """df with the piece ids of text_col as array<int> in out_col (replacing one of that name); null for a null text. With checked_col, that
+    column says whether the ids decode to the text; true for a null text. Nothing is shuffled."""
+    spark = df.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model or load_pieces())
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        made, out = _encoder(held), []
-        for part in _parts((t, (t or "")) for t in texts):
-            out += [None if t is None else np.frombuffer(b, "<i4") for (t, _), b in zip(part, made.encode_batch([x for _, x in part]), strict=True)]
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made = _encoder(held)
+        for texts in batches:
+            ids, same = [], []
+            for part in _parts((t, t or "") for at in range(0, len(texts), 500) for t in texts.slice(at, 500).to_pylist()):
+                for (t, text), b in zip(part, made.encode_batch([x for _, x in part]), strict=True):
+                    ids.append(None if t is None else b)
+                    same.append(t is None or checked_col is None or made.decode(b) == text)
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["ids", "same"])
 
-    return df.withColumn(out_col, ids(col(text_col)))
+    made = encoded(col(text_col))
+    if checked_col is None:
+        return df.withColumn(out_col, made["ids"])
+    held_col = unused("_pieces", df)
+    return df.withColumn(held_col, made).withColumns({out_col: col(held_col)["ids"], checked_col: col(held_col)["same"]}).drop(held_col)
 
 
 def decode_column(df: DataFrame, ids_col: str = "piece_ids", out_col: str = "text", *, model: tuple | None = None) -> DataFrame:
     """df with the text of the piece ids in ids_col as out_col; null for null."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model or load_pieces())
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = _encoder(held)
-        return ids.map(lambda x: None if x is None else made.decode(np.asarray(x, "<i4").tobytes()))
+        for ids in batches:
+            yield pa.array([None if not x.is_valid else made.decode(x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()) for x in ids], pa.string())
 
     return df.withColumn(out_col, text(col(ids_col)))
 
 
+def _lists(ids: list[bytes | None]) -> pa.Array:
+    """Little-endian int32 ids as an Arrow array of lists."""
+    ends = np.cumsum([0] + [len(b or b"") // 4 for b in ids]).astype(np.int32)
+    valid = np.array([b is not None for b in ids], bool)
+    flat = pa.array(np.frombuffer(b"".join(b or b"" for b in ids), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~valid))
+
+
 def _parts(rows, weight: int = 3 << 20):
     """Lists of rows, of about weight characters or one row each."""
     part, size = [], 0

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, col, id_text, rows_of
+from corpusloom.llm.common import Memo, batches_of, col, id_text, rows_of, small_batches
 
 BITS = 18
 #: Rated rows that a fit reads at most; they are the ones of the smallest hash of their id. More change nothing here.
@@ -31,31 +32,28 @@ _RUN = re.compile(rb"(.)\1+", re.S)
 class Features:
     """Indices of binary features: lower-case words that occur, and word shapes with the share of words that have them."""
 
-    def __init__(self, bits: int = BITS, memory: int = 300_000):
-        self.mask, self.memory, self.words, self.shapes = (1 << bits) - 1, memory, {}, {}
+    def __init__(self, bits: int = BITS):
+        self.mask, self.words, self.shapes = (1 << bits) - 1, Memo(), Memo()
 
     def __call__(self, text: bytes) -> np.ndarray:
         raw = text.split()
         out = set()
         seen: dict[bytes, int] = {}
         words, shapes, mask = self.words, self.shapes, self.mask
-        if len(words) > self.memory:
-            words.clear()
-        if len(shapes) > self.memory:
-            shapes.clear()
         for w in raw:
             got = words.get(w)
             if got is None:
-                shape = _RUN.sub(rb"\1", w[:64].translate(_SHAPE))
-                got = words[w] = (zlib.crc32(w.lower()) & mask, shape)
+                shape = _RUN.sub(rb"\1", w.translate(_SHAPE))
+                got = words.put(w, (zlib.crc32(w.lower()) & mask, shape), 300 + len(w) + len(shape))
             out.add(got[0])
             seen[got[1]] = seen.get(got[1], 0) + 1
         for shape, n in seen.items():
             share = min(5, int(6 * n / len(raw)))
             key = (shape, share)
-            if key not in shapes:
-                shapes[key] = zlib.crc32(b"\0%d " % share + shape) & mask
-            out.add(shapes[key])
+            at = shapes.get(key)
+            if at is None:
+                at = shapes.put(key, zlib.crc32(b"\0%d " % share + shape) & mask, 300 + len(shape))
+            out.add(at)
         return np.fromiter(out, np.int32, len(out))
 
 
@@ -121,6 +119,7 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, *, id_col: s
     different texts that 2 * max_rows are exceeded, those of the least hash of id and text are taken, whatever their grade."""
     rated = ratings.select(col(id_col).alias("doc_id"), F.col("grade").cast("int").alias("grade")).dropna()
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    small_batches(docs.sparkSession)
     texts = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
     schema = pa.schema([("grade", pa.int32()), ("h", pa.int64()), ("features", pa.binary())])
 
@@ -138,6 +137,7 @@ def fit_ratings(docs: DataFrame, ratings: DataFrame, n_grades: int, *, id_col: s
 def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, expected_grade and tails (P(grade >= k), k = 1, 2, ...) of each row."""
     spark = df.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast((model.weights, model.thresholds))  # 2**bits floats, whatever the input
     bits = model.bits
     id_type = df.select(col(id_col)).schema[0].dataType
@@ -162,15 +162,17 @@ def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
 
 def keep_good(df: DataFrame, model: OrdinalModel, grade: int, *, text_col: str = "text", least: float = KEEP_FROM) -> DataFrame:
     """The rows of df whose P(grade >= grade) is least or more, with all their columns; nothing is shuffled."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     bits = model.bits
 
     @F.pandas_udf("double")
-    def tail(texts: pd.Series) -> pd.Series:
+    def tail(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, thresholds = held.value
         made = Features(bits)
-        s = np.array([float(np.sort(weights[made((t or "").encode())]).sum(dtype=np.float64)) for t in texts])
-        return pd.Series(OrdinalModel(weights, thresholds, bits).tails(s)[:, grade - 1] if len(s) else s)
+        for texts in batches:
+            s = np.array([float(np.sort(weights[made((t or "").encode())]).sum(dtype=np.float64)) for t in texts])
+            yield pd.Series(OrdinalModel(weights, thresholds, bits).tails(s)[:, grade - 1] if len(s) else s)
 
     return df.filter(tail(F.coalesce(col(text_col), F.lit(""))) >= least)
 
