@@ -34,8 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become piece ids; round_trip says whether the ids decode to the text."""
-    out = pieces.decode_column(pieces.encode_column(docs), out_col="decoded")
-    return out.withColumn("n_pieces", F.size("piece_ids").cast("long")).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    return pieces.encode_column(docs, checked_col="round_trip").withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 
 STAGES = [
