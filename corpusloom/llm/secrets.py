@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_of, col, id_text, rows_of
+from corpusloom.llm.common import batches_of, col, id_text, rows_of, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -105,9 +105,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str, model: MarkovPair, base: list[tuple[int, int, int]], min_length: int, threshold: float, token: re.Pattern) -> list[tuple[int, int, int]]:
     """base, and tokens that the models call random and that touch no base span."""
-    found = [m.span() for m in token.finditer(text)]
-    if base:
-        found = [(a, b) for a, b in found if not any(a < e and s < b for s, _, e in base)]
+    found, at, reach = [], 0, 0
+    for m in token.finditer(text):  # both go by start, so one pass over base suffices
+        a, b = m.span()
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            found.append((a, b))
     if not found:
         return base
     keep = model.scores([text[a:b] for a, b in found]) > threshold
@@ -143,6 +148,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return batches_of(rows(), schema)
 
+    small_batches(df.sparkSession)
     out = ", ".join(["doc_id " + id_type.simpleString(), *(f"n_{k} long" for k in KINDS), "base_spans string", "spans string"])
     return id_text(df, id_col, text_col).mapInArrow(run, out)
 
@@ -175,6 +181,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", *, model: MarkovPair |
     def redacted(texts: pd.Series) -> pd.Series:
         return texts.map(clean, na_action="ignore")
 
+    small_batches(df.sparkSession)
     return df.withColumn(text_col, redacted(col(text_col)))
 
 
