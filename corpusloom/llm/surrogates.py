@@ -6,15 +6,21 @@ a full name stay consistent. A corpus-wide check keeps distinct entities distinc
 an entity of the corpus, all but one draw again, until none is left; only those second draws travel back to the documents. Names and mail
 addresses get longer with the attempts; private IP addresses move to 10.x; what still collides in a space of fixed size gets a free place of it.
 
-Null stays null, empty stays empty; repeated rows get the same replacements; columns other than id and text are kept by replace_private().
+Names are found after a title, and then, without one, wherever else their document has them. Feminine and masculine forms of a Cyrillic surname are
+one entity, and each form gets the surrogate in that form.
+
+Null stays null, empty stays empty; repeated rows get the same replacements, and so do rows of one id; where two kinds could begin at one place, the
+earlier of KINDS wins; an empty table gives no rows; columns other than id and text are kept by replace_private().
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import json
 import re
+import unicodedata
 
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.llm.common import Scratch, batches_of, col, id_text, rows_of, small
+from corpusloom.llm.common import Scratch, batches_of, col, id_text, rows_of, small, small_batches, unused
 
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "given", "surname")
 EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -32,19 +38,52 @@ CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,5}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")
-TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "herr": "m", "frau": "f", "monsieur": "m", "madame": "f", "mme": "f", "señor": "m", "señora": "f", "sr": "m", "sra": "f", "господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f"}
+TITLES = {
+    "mr": "m", "mrs": "f", "ms": "f", "miss": "f", "dr": "n", "prof": "n", "herr": "m", "frau": "f", "monsieur": "m", "madame": "f", "mme": "f", "señor": "m", "señora": "f", "sr": "m", "sra": "f",
+    "господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f", "κύριος": "m", "κυρία": "f", "السيد": "m", "السيدة": "f", "גברת": "f",
+}
+#: Titles that are words or names of their own when they don't begin with a capital.
+_CAPITAL = ("sr", "mr", "ms", "dr", "prof")
 PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.? )([^\W\d_]+(?:-[^\W\d_]+)?)(?:( )([^\W\d_]+(?:-[^\W\d_]+)?))?", re.I)
+_NAME = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+#: Given names by gender (n: not told by the title) and script; other scripts take made ones.
 GIVEN = {
     ("m", "latin"): "Adam Albert Anton Arthur Bruno Carl Daniel David Edgar Emil Felix Frank George Henry Hugo Jacob James Jonas Julian Leo Louis Lucas Martin Max Oscar Paul Peter Robert Samuel Simon Theo Thomas Victor Walter".split(),
     ("f", "latin"): "Ada Alice Amelia Anna Beatrice Clara Diana Edith Elena Ella Emma Eva Flora Grace Hanna Helen Ida Irene Iris Julia Laura Lea Lena Lucia Maria Martha Mia Nora Olivia Paula Rosa Sara Sofia Vera".split(),
+    ("n", "latin"): "Alex Casey Charlie Jamie Jordan Kim Morgan Noa Quinn Riley Robin Sasha Taylor Toni".split(),
     ("m", "cyrillic"): "Адам Алексей Андрей Антон Борис Виктор Глеб Денис Иван Игорь Кирилл Лев Максим Михаил Олег Павел Пётр Роман Сергей Степан".split(),
     ("f", "cyrillic"): "Алина Алла Анна Вера Галина Дарья Елена Ирина Лидия Любовь Мария Надежда Нина Ольга Полина Раиса Светлана София Тамара Юлия".split(),
+    ("n", "cyrillic"): "Валя Женя Саша Слава Шура".split(),
 }
-PARTS = {"latin": ("ba be bo da de do fa fe ga ge ha he ka ke la le lo ma me mo na ne no ra re ro sa se ta te va ve".split(), "n r s t l m".split()), "cyrillic": ("ба бе бо ва ве да де за ка ко ла ле ло ма ме на но па ра ре ро са се та те".split(), "н р с т л м".split())}
+#: Syllables and endings of made names, by script.
+PARTS = {
+    "latin": ("ba be bo da de do fa fe ga ge ha he ka ke la le lo ma me mo na ne no ra re ro sa se ta te va ve".split(), "n r s t l m".split()),
+    "cyrillic": ("ба бе бо ва ве да де за ка ко ла ле ло ма ме на но па ра ре ро са се та те".split(), "н р с т л м".split()),
+    "greek": ("βα βε γα δα δι κα κο λα λε λι μα με νι νο πα πε ρα ρο σα σι τα τε".split(), "κης δης λος νας".split()),
+    "hebrew": ("בא גו דל הד זי טו כר לב מי נו סל עו פר צו קל רו שי תל".split(), "ן ם ר ל".split()),
+    "arabic": ("با تا جا حا دا را زا سا شا طا عا فا قا كا لا ما نا".split(), "د ر م ن ي".split()),
+    "armenian": ("բա գա դա կա լա մա նա պա սա տա վա".split(), ["յան"]),
+    "georgian": ("ბა გა და ვა კა ლა მა ნა რა სა ტა ქა".split(), "ძე შვილი".split()),
+    "devanagari": ("का गा चा जा ता दा ना पा बा मा रा ला सा".split(), "न र ल व".split()),
+    "cjk": ("安 白 常 丁 方 高 何 江 林 罗 孟 宁 潘 秦 任 沈 唐 魏 徐 叶".split(), "明 华 平 文 宇 春 秋 雨".split()),
+    "hangul": ("가 나 다 라 마 바 사 아 자 하 민 서 지 현 우".split(), "준 호 영 수 진".split()),
+    "hiragana": ("あ か さ た な は ま や ら わ き し".split(), "え こ み と".split()),
+    "katakana": ("ア カ サ タ ナ ハ マ ヤ ラ ワ キ シ".split(), "エ コ ミ ト".split()),
+}
+#: Cyrillic surnames by the endings of their masculine and feminine forms; others don't tell the gender.
+ENDINGS = (("ский", "ская"), ("цкий", "цкая"), ("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ын", "ына"))
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    """The script of the first letter, as in its Unicode name; latin where no surrogates are made in it."""
+    name = next((unicodedata.name(c, "").split(" ")[0].lower() for c in word if c.isalpha()), "latin")
+    return name if name in PARTS else "latin"
+
+
+def base_form(surname: str) -> str:
+    """The lower-case surname; a feminine Cyrillic one in its masculine form, so that both are one entity."""
+    low = surname.lower()
+    return next((low[: -len(f)] + m for m, f in ENDINGS if low.endswith(f) and len(low) > len(f) + 1), low)
 
 
 def luhn(digits: str) -> bool:
@@ -58,11 +97,12 @@ def _iban_number(text: str) -> int:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) in order, without overlaps; earlier kinds win."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # by start
 
     def add(a: int, b: int, kind: str, canonical: str) -> None:
-        if not any(a < e and s < b for s, e, _, _ in found):
-            found.append((a, b, kind, canonical))
+        i = bisect.bisect_left(found, (a,))
+        if (not i or found[i - 1][1] <= a) and (i == len(found) or found[i][0] >= b):
+            found.insert(i, (a, b, kind, canonical))
 
     if "@" in text:
         for m in EMAIL.finditer(text):
@@ -85,17 +125,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", m[0])
             if 7 <= len(digits) <= 15:
                 add(*m.span(), "phone", digits)
+    parts: dict[str, tuple[str, str]] = {}  # of the names found
     for m in PERSON.finditer(text) if _TITLE.search(text) else ():
         first, second = m[3], m[5]
-        if not first[0].isupper() or m[1].lower() in ("sr", "mr", "ms") and not m[1][0].isupper():
+        if first[0].islower() or m[1].lower() in _CAPITAL and not m[1][0].isupper():
             continue
         gender = TITLES[m[1].lower()]
-        if second and second[0].isupper():
-            add(*m.span(3), "given", f"{gender}:{script_of(first)}:{first.lower()}")
-            add(*m.span(5), "surname", f"{script_of(second)}:{second.lower()}")
-        else:
-            add(*m.span(3), "surname", f"{script_of(first)}:{first.lower()}")
-    return sorted(found)
+        full = second and not second[0].islower() and second[0].isupper() == first[0].isupper()
+        if full:
+            given = "given", f"{gender}:{script_of(first)}:{first.lower()}"
+            add(*m.span(3), *given)
+            parts.setdefault(first.lower(), given)
+        last, span = (second, m.span(5)) if full else (first, m.span(3))
+        surname = "surname", f"{script_of(last)}:{base_form(last)}"
+        add(*span, *surname)
+        parts[base_form(last)] = surname
+    for m in _NAME.finditer(text) if parts else ():  # the same names without a title
+        own = parts.get(m[0].lower()) or parts.get(base_form(m[0]))
+        if own and not m[0][0].islower():
+            add(*m.span(), *own)
+    return found
 
 
 _TITLE = re.compile("|".join(re.escape(t) for t in TITLES), re.I)
@@ -115,9 +164,9 @@ class _Draw:
         self.left, out = divmod(self.left, n)
         return out
 
-    def word(self, script: str, parts: int) -> str:
+    def word(self, script: str, parts: int, end: str | None = None) -> str:
         syllables, ends = PARTS[script]
-        return "".join(syllables[self.below(len(syllables))] for _ in range(parts)) + ends[self.below(len(ends))]
+        return "".join(syllables[self.below(len(syllables))] for _ in range(parts)) + (end or ends[self.below(len(ends))])
 
 
 #: From this attempt on, addresses of a small private range are drawn from 10.x.
@@ -188,14 +237,18 @@ def draw(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return canonical[:keep] + "".join(body)
     if kind == "given":
         gender, script, _ = canonical.split(":")
-        names = GIVEN[gender, script]
+        names = GIVEN.get((gender, script))
+        if names is None:
+            return f"{gender}:{script}:{d.word(script, 1 + attempt // 2)}"
         name = names[d.below(len(names))]
         if attempt < 2:
             return f"{gender}:{script}:{name.lower()}"
         # the first part has the gender; the second grows without bound
         return f"{gender}:{script}:{name.lower()}-{names[d.below(len(names))].lower() if attempt < 4 else d.word(script, attempt // 2)}"
-    script = canonical.split(":")[0]
-    return f"{script}:{d.word(script, 2 + d.below(2) + attempt // 3)}"
+    script, name = canonical.split(":")
+    end = next((m for m, _ in ENDINGS if name.endswith(m)), "ко") if script == "cyrillic" else None
+    made = d.word(script, 2 + d.below(2) + attempt // 3, end)
+    return f"{script}:{made if not end or end[0] not in 'оеёиы' else made[: -len(end) - 1] + end}"  # one vowel where two meet
 
 
 def shaped(original: str, kind: str, surrogate: str) -> str:
@@ -206,10 +259,13 @@ def shaped(original: str, kind: str, surrogate: str) -> str:
     if kind in ("email", "ip"):
         return surrogate.upper() if original.isupper() else surrogate
     name = surrogate.rsplit(":", 1)[1]
+    if kind == "surname" and base_form(original) != original.lower():  # a feminine form
+        name = next((name[: -len(m)] + f for m, f in ENDINGS if name.endswith(m)), name)
     return name.upper() if len(original) > 1 and original.isupper() else "-".join(p.capitalize() for p in name.split("-")) if original[0].isupper() else name
 
 
 def _units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
     kind = df.select(col(id_col)).schema[0].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("kind", pa.string()), ("canonical", pa.string())])
 
@@ -287,8 +343,9 @@ def replace_private(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     scratch = Scratch(df.sparkSession, "surrogates")
     each = scratch.cut(_units(df, id_col, text_col), "units")
     again = scratch.cut(second_draws(each.select("kind", "canonical").distinct(), key, scratch), "second")
-    per = each.join(small(again), ["kind", "canonical"]).distinct().groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct("kind", "canonical", "attempt"))).alias("_draws"))
-    per = scratch.cut(per.withColumnRenamed("doc_id", "_draws_id"), "draws_of")
+    draws, draws_id, new = (unused(n, df) for n in ("_draws", "_draws_id", "_new"))
+    per = each.join(small(again), ["kind", "canonical"]).distinct().groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct("kind", "canonical", "attempt"))).alias(draws))
+    per = scratch.cut(per.withColumnRenamed("doc_id", draws_id), "draws_of")
 
     @F.pandas_udf("struct<text string, spans string>")
     def replaced(texts: pd.Series, draws: pd.Series) -> pd.DataFrame:
@@ -311,9 +368,9 @@ def replace_private(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             out.append(("".join([*parts, text[at:]]), ",".join(spans)))
         return pd.DataFrame(out, columns=["text", "spans"])
 
-    joined = df.join(small(per), col(id_col).eqNullSafe(F.col("_draws_id")), "left")
-    joined = joined.withColumn("_new", replaced(col(text_col), F.col("_draws")))
-    return joined.withColumn(text_col, F.col("_new.text")).withColumn("private_spans", F.col("_new.spans")).drop("_new", "_draws", "_draws_id")
+    joined = df.join(small(per), col(id_col).eqNullSafe(F.col(draws_id)), "left")
+    joined = joined.withColumn(new, replaced(col(text_col), F.col(draws)))
+    return joined.withColumn(text_col, F.col(new)["text"]).withColumn("private_spans", F.col(new)["spans"]).drop(new, draws, draws_id)
 
 
 def op6_result(df: DataFrame) -> DataFrame:
