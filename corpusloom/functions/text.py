@@ -7,6 +7,7 @@ template scanner, which Spark lacks.
 from __future__ import annotations
 
 import functools
+import html
 import sys
 import unicodedata
 
@@ -134,9 +135,10 @@ def long_lines(text: Column, chars: int = 200, least_words: int = 40, is_nfc: bo
     return F.transform(F.split(text, LINE_END), lambda x: let(words(x, is_nfc), lambda w: F.when((F.length(F.array_join(w, " ")) >= chars) & (F.size(w) >= least_words), F.sha2(F.array_join(w, " "), 256))))
 
 
-def repeated_lines(text: Column, least: int = 10, share: float = 0.35) -> Column:
-    """Whether of least or more non-blank lines a smaller share than given is distinct."""
-    return let(F.transform(lines(text), _trimmed), lambda x: (F.size(x) >= least) & (F.size(F.array_distinct(x)) / F.size(x) < share))
+def repeated_lines(text: Column, least: int = 10, share: float = 0.35, by_words: bool = False) -> Column:
+    """Whether of least or more non-blank lines a smaller share than given is distinct, by their words alone if by_words."""
+    form = (lambda x: F.array_join(plain_words(x), " ")) if by_words else _trimmed
+    return let(F.transform(lines(text), form), lambda x: (F.size(x) >= least) & (F.size(F.array_distinct(x)) / F.size(x) < share))
 
 
 def clean_book(text: Column) -> Column:
@@ -164,9 +166,43 @@ def strip_wikitext(text: Column, depth: int = 4) -> Column:
     return _trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), " ?\n ?", "\n"), "\n{3,}", "\n\n"))
 
 
-def strip_html(html: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def strip_wikitext_escaped(text: Column, depth: int = 4) -> Column:
+    """strip_wikitext for markup that stands escaped in its dump: HTML entities are resolved first."""
+    return strip_wikitext(_unescaped(text), depth)
+
+
+def strip_marks(text: Column) -> Column:
+    """The light variant of strip_wikitext: references, tags, single templates, links by their label, quotes and heading marks go; tables, files and categories stay."""
+    out = F.regexp_replace(text, r"(?s)<ref[^>]*>.*?</ref>|<[^>]+>|\{\{[^{}]*\}\}", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), r"\[\[([^\[\]]*)\]\]", "$1")
+    return _trimmed(F.regexp_replace(F.regexp_replace(out, r"'{2,}|={2,}", ""), f"{SPACE}+", " "))
+
+
+def preview(text: Column, n: int = 240) -> Column:
+    """The first n characters, for reports."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, n)
+
+
+def present_texts(columns: list[str], names: tuple[str, ...] = ("prompt", "text", "input", "question", "user")) -> Column:
+    """The non-blank values of those of names that are among columns, in the order of names."""
+    found = [F.when(F.length(F.trim(F.col(n).cast("string"))) > 0, F.col(n).cast("string")) for n in names if n in columns]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def record_text(columns: list[str], names: tuple[str, ...] = ("user", "system", "prompt", "question", "text")) -> Column:
+    """The fields of a record that stand for it in an overlap check, one a line; missing ones are left out."""
+    found = [F.col(n).cast("string") for n in names if n in columns]
+    return F.concat_ws("\n", *found) if found else F.lit("")
+
+
+def strip_html(page: Column) -> Column:
     """Visible text: no scripts, styles, comments or tags; the five basic entities; single spaces."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<[^>]*>", " ")
+    out = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<[^>]*>", " ")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
     return _trimmed(F.regexp_replace(out, f"{SPACE}+", " "))
