@@ -36,12 +36,32 @@ def groups_of(df: DataFrame, group: str = "group_id") -> DataFrame:
     return df.groupBy(group).agg(F.min(F.struct("source", "orthography")).alias("_f"), F.sum("chars").alias("chars")).select(group, "_f.source", "_f.orthography", "chars")
 
 
+def _fraction(hexes: Column) -> Column:
+    return F.conv(F.substring(hexes, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(2**64)
+
+
 def stratified_split(groups: DataFrame, ratio: float, group: str = "group_id", salt: str = "mixture") -> DataFrame:
-    """(group, source, split): per source, by priority, max(1, min(n - 1, n * ratio rounded half to even)) groups go to validation."""
-    w = W.partitionBy("source")
-    ranked = groups.withColumn("rank", F.row_number().over(w.orderBy(priority(F.col(group), salt)))).withColumn("n", F.count("*").over(w))
+    """(group, source, split): per source, by priority, max(1, min(n - 1, n * ratio rounded half to even)) groups go to validation.
+
+    Priorities are even, so the wanted ones lie below a share of the hash space with room to spare; only those are ranked, and the last priority
+    of each source that goes to validation, a small table, settles all groups without a shuffle. A source that its share doesn't cover is ranked whole.
+    """
+    own = priority(F.col(group), salt)
     want = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * ratio, 0).cast("long")))
-    return ranked.select(group, "source", F.when(F.col("rank") <= want, "val").otherwise("train").alias("split"))
+    sizes = groups.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("_s"), "n", want.alias("want"))
+    sizes = F.broadcast(sizes.withColumn("share", (F.col("want") + 6 * F.sqrt("want") + 20) / F.col("n")))  # one row a source
+
+    def last(some: DataFrame) -> DataFrame:
+        ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("_s").orderBy("p"))).filter("rank <= want")
+        return ranked.groupBy("_s", "want").agg(F.max("p").alias("last"), F.count("*").alias("found"))
+
+    each = groups.select("source", own.alias("p")).join(sizes, F.col("source").eqNullSafe(F.col("_s")))
+    cut = last(each.filter(_fraction(F.col("p")) < F.col("share")))
+    short = cut.filter("found < want").select("_s")
+    rest = last(each.join(F.broadcast(short.withColumnRenamed("_s", "_short")), F.col("_s").eqNullSafe(F.col("_short")), "left_semi"))
+    cuts = cut.filter("found = want").unionByName(rest).select("_s", "last")
+    out = groups.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_s")), "left")
+    return out.select(group, "source", F.when(own <= F.col("last"), "val").otherwise("train").alias("split"))
 
 
 def capped(groups: DataFrame, member: Column, cap: float, group: str = "group_id", salt: str = "mixture") -> DataFrame:

@@ -7,6 +7,23 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What a side of a join may have at most to be broadcast: rows, and bytes in their strings and arrays.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if a count finds it within the bounds; otherwise Spark shuffles both sides."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for c, kind in df.dtypes:
+        value = F.col(f"`{c}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    n, total = df.select(size.alias("size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
 
 
 def cutter(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
