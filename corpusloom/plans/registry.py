@@ -88,7 +88,17 @@ def _(docs):
     return docs.select("doc_id", F.size(p).cast("long").alias("n_paragraphs"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@_query("book_chunks", "documents")
+@_query("book_chunks", "documents", sql=rf"""
+with recursive q as (select doc_id, list_filter([regexp_replace(x, '^{_S}+|{_S}+$', '', 'g') for x in regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '
+[ 	
+
+]*
+')], lambda x: length(x) > 0) as parts from documents),
+p as (select doc_id, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as i from q),
+r as (select doc_id, i, part, 0 as chunk, cast(length(part) as bigint) as n from p where i = 1
+  union all select p.doc_id, p.i, p.part, case when r.n + length(p.part) > 2000 and r.n >= 500 then r.chunk + 1 else r.chunk end, case when r.n + length(p.part) > 2000 and r.n >= 500 then length(p.part) else r.n + 2 + length(p.part) end
+  from r join p on p.doc_id = r.doc_id and p.i = r.i + 1)
+select doc_id, chunk, cast(max(n) as bigint) as chars, sha256(string_agg(part, chr(10) || chr(10) order by i)) as part_sha256 from r group by doc_id, chunk having max(n) >= 500""")
 def _(docs):
     return docs.select("doc_id", F.posexplode(text.chunks(F.regexp_replace("text", "\n", "\n\n"), 500, 2000)).alias("chunk", "part")).select("doc_id", "chunk", F.length("part").cast("long").alias("chars"), F.sha2("part", 256).alias("part_sha256"))
 
@@ -100,9 +110,23 @@ def _(pages):
     return pages.select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("text_sha256"))
 
 
-@_query("wikitext_and_templates", "pages")
-def _(pages):
-    return pages.select("page_id", F.length(text.strip_wikitext(F.col("html"))).cast("long").alias("chars"), text.template_chars(F.col("html")).alias("template_chars"))
+#: Documents as wiki markup: nested templates, references, a table, links, a file, a heading and bold words around their text.
+_MARKUP = "'{{box|a={{b|' || lang || '}}|c}} == ' || source || ' ==' || chr(10) || '== Head ==' || chr(10) || repeat(chr(39), 3) || 'b' || repeat(chr(39), 3) || ' [[File:x.png|thumb]] [[a|' || lang || ']] and [[' || source || '<ref name=r>no</ref>]] {| table |} <!-- x -->[http://e.org/ label]' || chr(10) || text"
+
+
+@_query("wikitext_and_templates", "documents", sql=rf"""
+with m as (select doc_id, length('{{{{box|a={{{{b|' || lang || '}}}}|c}}}}') as n, {_MARKUP} as t from documents),
+a as (select doc_id, n, regexp_replace(t, '(?s)<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>|\{{\|.*?\|\}}', ' ', 'g') as t from m),
+b as (select doc_id, n, regexp_replace(regexp_replace(t, '\{{\{{[^{{}}]*\}}\}}', ' ', 'g'), '\{{\{{[^{{}}]*\}}\}}', ' ', 'g') as t from a),
+c as (select doc_id, n, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\[\[(?:file|image|category|файл|катэгорыя):[^\[\]]*\]\]', ' ', 'g'), '\[\[[^\[\]|]*\|([^\[\]]*)\]\]', '\1', 'g'), '\[\[([^\[\]]*)\]\]', '\1', 'g') as t from b),
+d as (select doc_id, n, regexp_replace(regexp_replace(t, '\[https?://\S+\s+([^\]]+)\]', '\1', 'g'), '(?m)^=+\s*(.*?)\s*=+\s*$', '\1', 'g') as t from c),
+e as (select doc_id, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>|''{{2,}}', '', 'g'), '[ 	]+', ' ', 'g'), ' ?
+ ?', chr(10), 'g'), '
+{{3,}}', chr(10) || chr(10), 'g') as t from d)
+select doc_id, sha256(regexp_replace(t, '^{_S}+|{_S}+$', '', 'g')) as text_sha256, cast(n as bigint) as template_chars from e""")
+def _(docs):
+    marked = docs.select("doc_id", F.expr(_MARKUP).alias("t"))
+    return marked.select("doc_id", F.sha2(text.strip_wikitext(F.col("t")), 256).alias("text_sha256"), text.template_chars(F.col("t")).alias("template_chars"))
 
 
 # URLs
@@ -158,7 +182,15 @@ def _(docs):
     return docs.select("doc_id", scoring.detect(F.col("text"), _E).alias("d")).select("doc_id", "d.score", "d.decision")
 
 
-@_query("detector_reasons_top", "documents")
+@_query("detector_reasons_top", "documents", sql=f"""with {_MIXED},
+c as (select doc_id, text, list_distinct(w) as w, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as o, length(regexp_replace(text, '[^Ѐ-ӿ]', '', 'g')) as f, length(regexp_replace(text, '[^wkWK]', '', 'g')) as m from t),
+s as (select doc_id, text, m, o + f as letters, case when o + f > 0 then o / (o + f) else 0.0 end as share, case when o + f > 0 then f / (o + f) else 0.0 end as fs,
+  len(list_filter(w, lambda x: x in {_list(_E.own)})) as own, len(list_filter(w, lambda x: x in {_list(_E.rival)})) as rival, len(list_filter(w, lambda x: x in {_list(_E.other)})) as other, len(list_filter(w, lambda x: x in {_list(_E.distant)})) as far from c),
+r as (select unnest([case when length(trim(text)) < 40 then 'short' end, case when letters = 0 then 'no_letters' end, case when share >= 0.70 then 'mostly_own_script' end, case when share < 0.70 and share >= 0.45 then 'mixed_script' end,
+  case when share < 0.45 then 'low_own_script' end, case when fs > 0.25 then 'foreign_script_high' end, case when fs > 0.5 then 'foreign_script_dominant' end, case when m > 0 then 'marker_letters' end, case when m = 0 then 'no_marker_letters' end,
+  case when own > 0 then 'own_words' end, case when rival >= greatest(3, own + 2) and m = 0 then 'rival_words' when rival > 0 then 'some_rival_words' end, case when other >= 2 then 'other_words' end,
+  case when far >= 4 or (far >= 2 and fs > 0.2) then 'distant_words' end, case when regexp_matches(text, '(?i)https?://|www\\.') then 'url_present' end, case when mixed then 'rival_segments' end]) as reason from s join mixed using (doc_id))
+select reason, count(*) as count from r where reason is not null group by reason order by count desc, reason limit 20""")
 def _(docs):
     return outcomes.top_reasons(docs.select(scoring.detect(F.col("text"), _E)["reasons"].alias("reasons")))
 
@@ -173,7 +205,16 @@ def _(docs):
     return docs.select("doc_id", scoring.additive(F.col("text"), _E).alias("score")).select("doc_id", "score", scoring.band(F.col("score"), 0.55).alias("band"))
 
 
-@_query("web_problems", "documents")
+@_query("web_problems", "documents", sql=rf"""with {_MIXED},
+parts as (select doc_id, i, w[i + 1 : i + 40] as x, least(i + 40, len(w)) as e from (select doc_id, w, unnest(range(0, len(w), 20)) as i from t)),
+hit as (select doc_id, i, e, len(list_filter(x, lambda v: v in {_list(_E.rival_only)})) as r, len(list_filter(x, lambda v: regexp_matches(v, '^[Ѐ-ӿ]+$'))) as f, len(x) as n from parts where len(x) >= 20),
+rp as (select doc_id, count(distinct p) as rival from (select doc_id, unnest(range(i, e)) as p from hit where r >= 6 and r / n >= 0.25) group by doc_id),
+fp as (select doc_id, count(distinct p) as foreign_ from (select doc_id, unnest(range(i, e)) as p from hit where f / n >= 0.75) group by doc_id),
+j as (select t.doc_id, w, mixed, coalesce(rival, 0) as rival, coalesce(foreign_, 0) as foreign_, array_to_string(w, '') as s, regexp_extract_all(lower(text), '\p{{L}}+') as l from t join mixed using (doc_id) left join rp using (doc_id) left join fp using (doc_id))
+select doc_id, case when mixed then 'rival_segments' when length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) > 0 and length(regexp_replace(s, '[^A-Za-z]', '', 'g')) / length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) < 0.65 then 'foreign_script_dominant'
+  when length(regexp_replace(s, '[^wk]', '', 'g')) = 0 and len(list_filter(w, lambda x: x in {_list(_E.own_only)})) < 2 then 'no_evidence' when rival >= 20 and rival / greatest(len(w), 1) >= 0.10 then 'rival_windows'
+  when foreign_ >= 40 and foreign_ / greatest(len(w), 1) >= 0.20 then 'foreign_windows' when len(w) >= 100 and len(list_distinct(w)) / len(w) < 0.05 then 'extreme_token_repetition' end as problem,
+  case when len(l) < 120 then false else len(list_filter(l, lambda x: length(x) <= 3)) / len(l) >= 0.82 and len(list_filter(l, lambda x: length(x) >= 6)) / len(l) <= 0.03 and list_sum([length(x) for x in l]) / len(l) <= 3.0 end as fragmented from j""")
 def _(docs):
     return docs.select("doc_id", scoring.web_problem(F.col("text"), _E).alias("problem"), scoring.fragmented(F.col("text")).alias("fragmented"))
 
@@ -217,6 +258,30 @@ def _(docs, pages):
     return outcomes.coverage_of(docs, {"source": ["source"], "language": ["lang"]})
 
 
+@_query("stage2_outcomes", "documents", "benchmark")
+def _(docs, bench):
+    # the first half of the benchmark stands for the public items, the rest for sealed ones
+    out = curation.stage2(docs.select("doc_id", "source", "text"), bench.filter("item_id % 2 = 0"), bench.filter("item_id % 2 = 1"), _STAGE2)
+    return out.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "removed", F.coalesce("reason", F.lit("kept")).alias("outcome"))
+
+
+_STAGE2 = curation.Stage2(language=scoring.LanguageProfile("A-Za-zÀ-ÿ", "Ѐ-ӿ", "aeiou", scoring.ENGLISH.own), line_chars=60, line_words=8)
+
+
+@_query("legacy_outcomes", "documents")
+def _(docs):
+    return curation.legacy(docs.select("doc_id", "source", "text"), _LEGACY)
+
+
+_LEGACY = curation.Legacy(rules=(("src1", 0.25, 300),), barred=("src19",))
+
+
+@_query("legacy_report", "documents")
+def _(docs):
+    names = ["parse_error", "empty", "short", "barred_source", "redirect", "namespace", "accepted", "quarantine", "rejected", "duplicate_exact", "duplicate_near"]
+    return curation.source_report(curation.legacy(docs.select("doc_id", "source", "text"), _LEGACY), names, _LEGACY)
+
+
 # duplicates
 
 
@@ -251,7 +316,14 @@ def _(docs):
     return dedup.paragraph_overlap(docs, "doc_id", "text")
 
 
-@_query("simhash_pairs", "documents")
+@_query("simhash_pairs", "documents", sql=rf"""
+with w as (select doc_id, unnest(list_filter({_W}, lambda x: length(x) >= 3)) as w from documents),
+h as (select doc_id, cast('0x' || substr(md5(w), 1, 16) as ubigint) as h, count(*) as n from w group by all),
+v as (select doc_id, bit, sum(case when (h >> bit) & 1 = 1 then n else -n end) as votes from h, (select cast(unnest(range(64)) as ubigint) as bit) group by all),
+f as (select doc_id, bit_or(case when votes > 0 then cast(1 as ubigint) << bit else cast(0 as ubigint) end) as fp from v group by doc_id union all select doc_id, 0 from documents where doc_id not in (select doc_id from w)),
+c as (select min(doc_id) as id, fp from f group by fp)
+select a.id as a, b.id as b, cast(bit_count(xor(a.fp, b.fp)) as int) as distance from c a join c b on a.id < b.id and bit_count(xor(a.fp, b.fp)) <= 6
+union all select c.id, f.doc_id, 0 from f join c using (fp) where f.doc_id > c.id""")
 def _(docs):
     prints = cutter(docs.sparkSession)(docs.select("doc_id", dedup.simhash(F.col("text")).alias("fp")))
     return dedup.hamming_pairs(prints, "doc_id", "fp").unionByName(dedup.fingerprint_copies(prints, "doc_id", "fp"))
@@ -265,36 +337,28 @@ pr as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b
 pairs as (select a, b, shared / (x.n + y.n - shared) as jaccard from pr join u x on x.doc_id = a join u y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared))"""
 
 
-@_query("shingle_pairs", "documents", sql=f"with {_SETS} select a, b, round(jaccard, 9) as jaccard from pairs")
-def _(docs):
-    return dedup.shingle_pairs(docs, "doc_id", "text").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
-
-
-@_query("near_dup_kept", "documents")
-def _(docs):
-    cut = cutter(docs.sparkSession)
-    kept = dedup.first_independent(docs.select("doc_id"), cut(dedup.shingle_pairs(docs, "doc_id", "text").select("a", "b")), cut)
-    # whatever drops the first of a class has the same similarity to its other members, and so has the first itself
-    copies = cut(dedup.shingle_copies(docs, "doc_id", "text").select(F.col("b").alias("id")).distinct()).withColumn("copy", F.lit(True))
-    return kept.join(copies, "id", "left").select(F.col("id").alias("doc_id"), (F.col("kept") & F.col("copy").isNull()).alias("kept"))
-
-
-@_query("similarity_histogram", "documents", sql=f"with {_SETS} select round(jaccard, 2) as bucket, count(*) as count from pairs group by 1")
-def _(docs):
-    return dedup.shingle_pairs(docs, "doc_id", "text").groupBy(F.round("jaccard", 2).alias("bucket")).count()
-
-
 #: The links of all documents: the pairs of the first documents of equal sets, and each other document with the first of its set.
 _LINKS = f"""{_SETS},
 links as (select a, b, jaccard from pairs union all select a, doc_id, 1.0::double from (select doc_id, min(doc_id) over (partition by k) as a from n) where a < doc_id)"""
 
 
-@_query("shingle_links", "documents", sql=f"with {_LINKS} select a, b, round(jaccard, 9) as jaccard from links")
+@_query("shingle_pairs", "documents", sql=f"with {_LINKS} select a, b, round(jaccard, 9) as jaccard from links")
 def _(docs):
     return dedup.shingle_links(docs, "doc_id", "text").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@_query("similarity_histogram_links", "documents", sql=f"with {_LINKS} select round(jaccard, 2) as bucket, count(*) as count from links group by 1")
+@_query("near_dup_kept", "documents", sql=f"""with recursive {_SETS.split("u as")[0].rstrip().rstrip(",")},
+links as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+later as (select b, list(a) as earlier, row_number() over (order by b) as i from links group by b),
+steps as (select cast(0 as bigint) as i, cast([] as bigint[]) as dropped
+  union all select l.i, case when len(list_filter(l.earlier, lambda x: not list_contains(s.dropped, x))) > 0 then list_append(s.dropped, l.b) else s.dropped end from steps s join later l on l.i = s.i + 1)
+select doc_id, not list_contains((select dropped from steps order by i desc limit 1), doc_id) as kept from documents""")
+def _(docs):
+    return dedup.near_dup_first_wins(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@_query("similarity_histogram", "documents", sql=f"with {_LINKS} select round(jaccard, 2) as bucket, count(*) as count from links group by 1")
 def _(docs):
     return dedup.shingle_links(docs, "doc_id", "text").groupBy(F.round("jaccard", 2).alias("bucket")).count()
 
@@ -413,7 +477,12 @@ def _(docs):
     return mixture.fractions(docs.select("source", F.length("text").cast("long").alias("chars")), F.col("source") == "src1").withColumn("synthetic_share", F.round("synthetic_share", 9))
 
 
-@_query("capped_mixture", "documents")
+@_query("capped_mixture", "documents", sql=f"""with recursive {_GROUPS},
+b as (select coalesce(sum(chars) filter (source is null or source not in ('src1', 'src2', 'src3')), 0) * 0.10::double / (1 - 0.10::double) as budget from g),
+m as (select group_id, chars, row_number() over (order by sha256('mixture' || chr(0) || group_id)) as i from g where source in ('src1', 'src2', 'src3')),
+r as (select cast(0 as bigint) as i, cast(0 as bigint) as used, '' as group_id, false as kept union all
+  select m.i, case when r.used + m.chars <= b.budget then r.used + m.chars else r.used end, m.group_id, r.used + m.chars <= b.budget from r join m on m.i = r.i + 1, b)
+select group_id, coalesce(r.kept, true) as kept from g left join r using (group_id)""")
 def _(docs):
     return mixture.capped(_groups(docs), F.col("source").isin("src1", "src2", "src3"), 0.10).select("group_id", "kept")
 
@@ -548,13 +617,28 @@ def _(turns):
 
 # admission and evidence
 
-_POLICY = admission.AdmissionPolicy(url_sources=("web",), blocked_hosts=("example.org",), clone_labels=("m",), language_labels=("fr", "de"), exempt_hosts=("example.net",))
+_POLICY = admission.AdmissionPolicy(
+    url_sources=("web",), blocked_hosts=("example.org",), clone_routes=(("example.com", "de"),), language_labels=("fr", "de"), query_keys=("lang", "ref"), exempt_hosts=("blog.tionsh.example.net",), local_domains=("local.example.net",),
+    archive_segments=("en",), teaser=("the",), teasers=40, game=admission.Marks(("and", "that", "was"), 3, 0.03, 1500), store=admission.Marks(("le", "la"), 2, 0.06, 4000), menu=("with",), menu_share=0.9, menu_counts=0,
+    common_short=frozenset(["the", "of", "and"]), wiki_tail=("home",), wiki_controls=admission.Marks(("help", "about"), 1, 0.1), share_tail=("of",), share_share=0.95, share_lines=1, share_words=1_000_000,
+)
 
 
 @_query("admission_reasons", "pages", sql=r"""
-with u as (select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '') as h, [lower(x) for x in string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') if x <> ''] as s from pages)
-select page_id, case when h = 'example.org' or h like '%.example.org' then 'reviewed_problem_source_family' when string_split(h, '.')[1] = 'm' or coalesce(s[1] = 'm', false) then 'unreviewed_translated_route'
-  when not (h = 'example.net' or h like '%.example.net') and (string_split(h, '.')[1] in ('fr', 'de') or coalesce(s[1] in ('fr', 'de'), false)) then 'unreviewed_multilingual_route' end as reason from u""")
+with u as (select page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\.', '') as h, [lower(x) for x in string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') if x <> ''] as s,
+  [lower(x) for x in string_split(regexp_extract(url, '\?([^#]*)', 1), '&')] as q, TEXT as t from pages),
+l as (select *, lower(t) as low, regexp_extract_all(lower(t), '\p{L}+') as w, (length(lower(t)) - length(replace(lower(t), 'the', ''))) / 3 as n_the, (length(lower(t)) - length(replace(lower(t), 'and', ''))) / 3 as n_and, (length(lower(t)) - length(replace(lower(t), 'that', ''))) / 4 as n_that,
+  (length(lower(t)) - length(replace(lower(t), 'was', ''))) / 3 as n_was, (length(lower(t)) - length(replace(lower(t), 'le', ''))) / 2 as n_le, (length(lower(t)) - length(replace(lower(t), 'la', ''))) / 2 as n_la from u)
+select page_id, case when h = 'example.org' or h like '%.example.org' then 'reviewed_problem_source_family' when h like '%.example.com' and coalesce(s[1] = 'de', false) then 'unreviewed_translated_route'
+  when not (h = 'blog.tionsh.example.net' or h like '%.blog.tionsh.example.net' or h like '%.local.example.net') and (string_split(h, '.')[1] in ('fr', 'de') or coalesce(s[1] in ('fr', 'de'), false) or list_has_any(q, ['lang=fr', 'lang=de', 'ref=fr', 'ref=de'])) then 'unreviewed_multilingual_route'
+  when len(s) >= 3 and s[-2] = 'page' and regexp_matches(s[-1], '^[0-9]+$') and list_contains(s[:-3], 'en') then 'paginated_article_archive'
+  when n_the >= 40 and list_contains(s, 'en') then 'article_teaser_archive'
+  when contains(low, 'with') and (length(low) - instr(low, 'with') + 1) / length(low) >= 0.9 then 'dominant_category_selection_menu'
+  when length(low) <= 1500 and n_and > 0 and n_that > 0 and n_was > 0 and (n_and * 3 + n_that * 4 + n_was * 3) / greatest(length(low), 1) >= 0.03 then 'dominant_game_navigation_controls'
+  when length(low) <= 4000 and n_le > 0 and n_la > 0 and (n_le * 2 + n_la * 2) / greatest(length(low), 1) >= 0.06 then 'dominant_store_navigation_controls'
+  when len(w) >= 120 and len(list_filter(w, lambda x: length(x) <= 3)) / len(w) >= 0.82 and len(list_filter(w, lambda x: length(x) <= 3 and x not in ('the', 'of', 'and'))) / len(w) >= 0.3 and len(list_filter(w, lambda x: length(x) >= 6)) / len(w) <= 0.03 and list_sum([length(x) for x in w]) / len(w) <= 3.0 then 'extreme_short_token_fragmentation'
+  when contains(low, 'home') and (length(low) - instr(low, 'home') + 1) / length(low) >= 0.1 and (contains(substr(low, instr(low, 'home')), 'help') or contains(substr(low, instr(low, 'home')), 'about')) then 'substantial_wiki_navigation_tail'
+  when contains(low, 'of') and (length(low) - instr(low, 'of') + 1) / length(low) >= 0.95 and regexp_matches(substr(low, instr(low, 'of') + 2), '\S') then 'dominant_related_links_tail' end as reason from l""".replace("TEXT", ORACLE_SQL["page_texts"].split("sha256(", 1)[1].rsplit(") as text_sha256", 1)[0]))
 def _(pages):
     web = pages.select("page_id", "url", text.strip_html(F.col("html")).alias("text"), F.lit("web").alias("source"), F.lit("").alias("digest"))
     return web.select("page_id", admission.admission_reason(_POLICY).alias("reason"))
@@ -602,7 +686,7 @@ def _(labels):
 # evaluation
 
 
-@_query("role_language", "conversations")
+@_query("role_language", "conversations", sql="with documents as (select conv_id * 1000 + turn as doc_id, text from conversations where role = 'assistant')," + ORACLE_SQL["detector_scores"].removeprefix("with").replace("< 40 then -3.0", "< 10 then -3.0").replace("select doc_id, score, case", "select doc_id // 1000 as conv_id, cast(doc_id % 1000 as int) as turn, 'assistant' as role, 'reject' as decision from r where not (score >= 2) -- case"))
 def _(turns):
     return evals.role_language(turns, _E)
 

@@ -203,12 +203,12 @@ def test_shingle_links_of_all_documents(spark, tmp_path):
             if a < b and 100 * len(x & y) >= 85 * len(x | y):
                 want[a, b] = round(len(x & y) / len(x | y), 9)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    got = [tuple(r) for r in registry.QUERIES["shingle_links"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registry.QUERIES["shingle_pairs"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want and 1.0 in want.values()
     counts = {}
     for j in want.values():
         counts[round(j, 2)] = counts.get(round(j, 2), 0) + 1
-    assert dict(map(tuple, registry.QUERIES["similarity_histogram_links"](spark, str(tmp_path)).collect())) == counts
+    assert dict(map(tuple, registry.QUERIES["similarity_histogram"](spark, str(tmp_path)).collect())) == counts
 
 
 def test_caps_and_splits(spark):
