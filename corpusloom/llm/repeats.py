@@ -2,8 +2,9 @@
 
 A window's anchor is the place of the least hash among its grams, so equal windows have anchors at equal places and meet under
 the anchor's hash. Only anchors whose hash occurs twice can stand in repeated windows; each becomes a record: the
-symbols of the windows that it anchors. Records of one hash are compared by the remover's own method. A hash of very many
-records is first compared in salted parts; what is found repeated there needs no second look.
+symbols of the windows that it anchors. Records of one hash are compared by the remover's own method. A hash of over HOT
+records is dealt out in salted parts, in proportion to its count; what repeats in a part is settled. Each window left, of which a part has one of
+a kind, meets its like of the other parts under a hash of the whole window, so no task ever holds all records of a hash.
 
 Exact copies of a whole text are settled by their hash beforehand. Order is by numeric id, null ids last; rows of one
 id don't precede each other, so equal rows of one id both stay. Null texts count as empty; extra columns play no part.
@@ -16,18 +17,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from corpusloom.llm.common import Scratch, batches_of, col, rows_of, small
+from corpusloom.llm.common import Scratch, batches_of, col, rows_of, small, small_batches
 
 _P = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
-#: Records of one hash beyond which they are compared in parts first, and the number of parts.
-HOT, SALTS = 500, 16
+#: Records of one hash beyond which they are compared in parts first, each of so many records or the root of their number.
+HOT = 500
 _SIDE = 1 << 15
 _RUN = re.compile(b"\1+")
+_PLACES = "doc_id long, row int, lo int, hi int, key long, window long"
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -74,14 +76,18 @@ def anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def remove(
-    df: DataFrame, id_col: str, text_col: str, *, window: int, k: int, reader: Callable, matcher: Callable, cutter: Callable
+    df: DataFrame, id_col: str, text_col: str, *, window: int, k: int, reader: Callable, matcher: Callable, cutter: Callable, hot: int = HOT
 ) -> DataFrame:
     """doc_id, n, n_removed, n_spans and kept (bytes) of each row of df.
 
     reader() gives a function from a text to its symbols as numbers. matcher takes the records of whole groups of one hash and salt,
-    and gives for each an array of which of its windows repeat. cutter slices a text's symbols and joins what stays of them.
+    and gives for each an array of which of its windows repeat. cutter slices a text's symbols and joins what stays of them. Ids must be
+    numbers or null, as they give the order.
     """
     spark = df.sparkSession
+    if not isinstance(df.select(col(id_col)).schema[0].dataType, (IntegralType, DecimalType)):
+        raise TypeError(f"{id_col} must be an integer: which of two equal windows stays goes by the order of ids")
+    small_batches(spark)
     scratch = Scratch(spark, "repeats")
     width = window - k + 1
     doc_id = F.coalesce(col(id_col).cast("long"), F.lit(_LAST))
@@ -95,8 +101,8 @@ def remove(
     numbered = lambda d: d.withColumn("row", none) if not any_several else d.join(small(several), "doc_id", "left").withColumn("row", F.when(F.col("several"), F.col("hash")).otherwise(none)).drop("several")
     any_several = bool(several.limit(1).count())
     docs, slim = numbered(docs), numbered(slim)
-    shared = slim.groupBy("hash", "h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-    copies = scratch.cut(slim.join(shared, ["hash", "h"]).filter("doc_id > first_id").select("doc_id", "row").distinct(), "copies")
+    shared = scratch.cut(slim.groupBy("hash", "h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id"), "shared")
+    copies = scratch.cut(slim.join(small(shared), ["hash", "h"]).filter("doc_id > first_id").select("doc_id", "row").distinct(), "copies")
     held = small(copies)
     own = docs.join(held, ["doc_id", "row"], "left_anti").select("doc_id", "row", "text")
 
@@ -119,8 +125,16 @@ def remove(
 
     # found twice, as a table of all anchors would take half the input's size on disk
     marks = own.mapInArrow(find, "key long, doc_id long, row int, at int, span int")
-    often = marks.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
-    places = marks.join(often.hint("shuffle_hash"), "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "at", "span", "hot")).alias("places"))
+    parts = F.when(F.col("c") > hot, F.ceil(F.col("c") / F.greatest(F.lit(float(hot)), F.sqrt("c")))).otherwise(0).cast("int")
+    often = scratch.cut(marks.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", parts.alias("parts")), "often")
+    some_hot = bool(often.filter("parts > 0").limit(1).count())
+    if some_hot:
+        salted = marks.join(small(often.filter("parts > 0")), "key", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("doc_id", "row", "at"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        dealt_keys = often.select("key", F.explode(F.when(F.col("parts") > 0, F.sequence(F.lit(1), F.col("parts"))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        met = salted.join(dealt_keys.hint("shuffle_hash"), ["key", "salt"])
+    else:
+        met = marks.join(often.select("key").hint("shuffle_hash"), "key").withColumn("salt", F.lit(0))
+    places = met.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "salt", "at", "span")).alias("places"))
     # one exchange of the texts: the same columns are dealt out here and at the end, so that Spark uses it twice
     dealt = docs.select("doc_id", "no_id", "row", "text").repartition("doc_id", "row")
 
@@ -130,7 +144,7 @@ def remove(
         for batch in batches:
             places = batch.column("places")
             at_row, each = places.offsets.to_numpy(), places.flatten()  # columns of all rows' places
-            key, at, span, hot = (each.field(n).to_numpy(zero_copy_only=False) for n in ("key", "at", "span", "hot"))
+            key, salt, at, span = (each.field(n).to_numpy(zero_copy_only=False) for n in ("key", "salt", "at", "span"))
             first = at_row[:-1] - at_row[0]
             count = np.diff(at_row)
             lo, hi = at - span // _SIDE, at + span % _SIDE - width
@@ -143,14 +157,15 @@ def remove(
                     piece, x, y = cutter.pieces(texts[j].as_py()), int(first[j]), int(first[j] + count[j])
                     parts += [piece(p, q) for p, q in zip(lo[x:y].tolist(), (hi[x:y] + window).tolist(), strict=True)]
                 d = np.repeat(ids[start:end], count[start:end])
-                salt = np.where(hot[a:b], 1 + d % SALTS, 0)
-                made = (key[a:b], salt, d, np.repeat(rows[start:end], count[start:end]), at[a:b], lo[a:b], hi[a:b], parts)
+                made = (key[a:b], salt[a:b], d, np.repeat(rows[start:end], count[start:end]), at[a:b], lo[a:b], hi[a:b], parts)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, schema.types, strict=True)], schema=schema)
 
     layout = "key long, salt int, doc_id long, row int, at int, lo int, hi int, part binary"
     records = dealt.join(places.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "no_id", "row", "text", "places").mapInArrow(record, layout)
-    # records of a hot hash are compared within their salted part; what is left of the parts, by hash alone
-    found = _compared(_compared(records, matcher, window), matcher, window)
+    found = _compared(records, reader, matcher, window)
+    if some_hot:
+        found = scratch.cut(found, "found")
+        found = found.filter("window is null").select("doc_id", "row", "lo", "hi").unionByName(_across(found.filter("window is not null")))
     taken = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     whole = dealt.join(copies.select("doc_id", "row", F.lit(True).alias("copy")).hint("shuffle_hash"), ["doc_id", "row"], "left").join(taken.hint("shuffle_hash"), ["doc_id", "row"], "left")
     id_type = df.select(col(id_col)).schema[0].dataType
@@ -176,43 +191,42 @@ def remove(
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).cast(id_type).alias("doc_id"), "n", "n_removed", "n_spans", "kept")
 
 
-def _compared(records: DataFrame, matcher: Callable, window: int) -> DataFrame:
-    """Rows with a null part say that the symbols lo to hi of (doc_id, row) repeat, and pass through. The others are records; those
-    of one key and salt are compared, and if they are salted, those with windows that don't repeat come back with salt 0."""
-    layout = "key long, salt int, doc_id long, row int, at int, lo int, hi int, part binary"
+def _compared(records: DataFrame, reader: Callable, matcher: Callable, window: int) -> DataFrame:
+    """(doc_id, row, lo, hi) of symbols that repeat, by comparing the records of each key and salt; and for the windows of salted records that
+    don't repeat in their part, also their key and hash."""
 
     def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
-
-        passed: list[pa.RecordBatch] = []
-
-        def to_compare():
-            for batch in batches:
-                done = pc.is_null(batch.column("part"))
-                if pc.any(done).as_py():
-                    passed.append(batch.filter(done))
-                    batch = batch.filter(pc.invert(done))
-                yield batch
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.int64()), ("window", pa.int64())])
+        read = reader()
 
         def rows():
-            for group in _blocks(rows_of(to_compare(), "key", "salt", "doc_id", "row", "at", "lo", "hi", "part")):
-                records = [(r[0], *r[1:]) for r in group]
-                for rec, repeated in zip(records, matcher(records, window), strict=True):
-                    key, salt, d, r, at, lo, hi, part = rec
+            for group in _blocks(rows_of(batches, "key", "salt", "doc_id", "row", "at", "lo", "hi", "part", step=5000)):
+                for (key, salt, d, r, _, lo, _, part), repeated in zip(group, matcher(group, window), strict=True):
                     marks = repeated.tobytes()  # a byte for each window
-                    if salt and b"\0" in marks:
-                        yield key, 0, d, r, at, lo, hi, part
                     for m in _RUN.finditer(marks):
-                        yield d, 0, d, r, at, lo + m.start(), lo + m.end() - 1 + window, None  # its key spreads it
+                        yield d, r, lo + m.start(), lo + m.end() - 1 + window, None, None
+                    if salt and b"\0" in marks:
+                        hashes = gram_hashes(read(part), window).view(np.int64).tolist()
+                        for j, (h, done) in enumerate(zip(hashes, marks, strict=True)):
+                            if not done:
+                                yield d, r, lo + j, lo + j + window, key, h
 
-        for made in batches_of(rows(), schema, size=20_000):
-            yield made
-            while passed:
-                yield passed.pop()
-        yield from passed
+        return batches_of(rows(), schema, size=20_000)
 
     near = records.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "at", "row")
-    return near.mapInArrow(run, layout)
+    return near.mapInArrow(run, _PLACES)
+
+
+def _across(windows: DataFrame) -> DataFrame:
+    """(doc_id, row, lo, hi) of the windows that also start earlier, in another part of their key. Equal windows have equal keys and hashes (112 bits
+    together), and a part gives each window once, so a group has as many rows as its key has parts at most."""
+    same = ["key", "window"]
+    first = windows.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = windows.join(first, same)
+    # of one row, only the first start stays
+    own = met.groupBy(*same, "doc_id", "row").agg(F.min("first_id").alias("first_id"), F.min("lo").alias("least"), F.collect_list(F.struct("lo", "hi")).alias("at"))
+    each = own.select("doc_id", "row", "first_id", "least", F.explode("at").alias("at"))
+    return each.filter("doc_id > first_id or at.lo > least").select("doc_id", "row", "at.lo", "at.hi")
 
 
 def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -228,7 +242,7 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _blocks(rows: Iterator[tuple], weight: int = 8 << 20) -> Iterator[list[tuple]]:
-    """Whole groups of one key and salt, several together up to weight bytes."""
+    """Whole groups of one key and salt, several together up to weight bytes. A group has HOT records at most, or the root of its key's."""
     block: list[tuple] = []
     size, last, before = 0, None, None
     for r in rows:

@@ -1,6 +1,6 @@
 """Suffix-array dedup with deep-shallow sorting.
 
-The suffixes that start at anchors, and the reversed prefixes that end there, are sorted: by multikey quicksort, eight bytes a step,
+The suffixes that start at anchors of one key, and the reversed prefixes that end there, are sorted: by multikey quicksort, eight bytes a character,
 down to a shallow depth, and then, in groups that still agree, by blind tries. Neighbours' common prefixes give, for any depth, classes of suffixes
 that agree so far. A window lies partly before and partly behind its anchor; windows are equal if both classes are.
 """
@@ -60,50 +60,67 @@ def _first_difference(a: bytes, b: bytes) -> int:
     return len(a) - (x.bit_length() + 7) // 8
 
 
-def deep_shallow(table: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
-    """The order of the rows of a byte table; equal rows in any order."""
+def deep_shallow(table: np.ndarray, shallow: int = SHALLOW, starts: np.ndarray | None = None) -> np.ndarray:
+    """The order of the rows of a byte table within the ranges that begin at starts (one range without); equal rows in any order."""
     n, wide = table.shape
+    order = np.arange(n)
     if not n:
-        return np.zeros(0, np.int64)
+        return order
     words = np.zeros((n, -(-wide // 8) * 8), np.uint8)
     words[:, :wide] = table
     words = words.view(">u8").astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)  # group: the place of a row's group among the sorted
-    live = np.arange(n)  # places whose group has several rows
-    for depth in range(min(words.shape[1], max(1, shallow // 8))):
-        rows = order[live]
-        by = np.lexsort((words[rows, depth], group[live]))
-        rows, g = rows[by], group[live][by]
-        order[live] = rows
-        key = words[rows, depth]
-        new = np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])]
-        first = live[np.flatnonzero(new)]
-        group[live] = first[np.cumsum(new) - 1]
-        size = np.diff(np.r_[np.flatnonzero(new), len(live)])
-        live = live[np.repeat(size > 1, size)]
-        if not len(live):
-            return order
-    cut = np.flatnonzero(np.r_[True, group[live][1:] != group[live][:-1]])
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(live)], strict=True):
-        rows = order[live[a:b]]
+    for a, b in multikey_quicksort(words, order, np.zeros(1, np.int64) if starts is None else starts, min(words.shape[1], max(1, shallow // 8))):
         same: dict[bytes, list[int]] = {}
-        for r in rows.tolist():
+        for r in order[a:b].tolist():
             same.setdefault(table[r].tobytes(), []).append(r)
         if len(same) > 1:
             strings = list(same)
-            order[live[a:b]] = [r for i in BlindTrie(strings).order() for r in same[strings[i]]]
-        else:
-            order[live[a:b]] = rows
+            order[a:b] = [r for i in BlindTrie(strings).order() for r in same[strings[i]]]
     return order
 
 
-def common_prefixes(table: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Bytes that each row of the order shares with the one before; 0 for the first."""
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Sorts order, in place, by the first most columns of words within the ranges that begin at starts. Each round splits every open range in three
+    by a pivot of its own at its own depth: less, equal, greater; equal ones go on one column deeper. The ranges that agree in all most columns."""
+    start, size = starts, np.diff(np.r_[starts, len(order)])
+    depth = np.zeros(len(start), np.int64)
+    done: list[tuple[int, int]] = []
+    while True:
+        full = (size > 1) & (depth >= most)
+        done += zip(start[full].tolist(), (start[full] + size[full]).tolist(), strict=True)
+        live = (size > 1) & (depth < most)
+        start, size, depth = start[live], size[live], depth[live]
+        if not len(start):
+            return sorted(done)
+        ends = np.cumsum(size)
+        base = ends - size  # of each range among the live places
+        of = np.repeat(np.arange(len(start)), size)
+        place = np.arange(ends[-1]) + (start - base)[of]
+        rows = order[place]
+        key = words[rows, depth[of]]
+        pivot = key[base + size // 2][of]
+        less, equal = key < pivot, key == pivot
+        n_less, n_equal = np.add.reduceat(less, base, dtype=np.int64), np.add.reduceat(equal, base, dtype=np.int64)
+        rank = np.arange(ends[-1]) - base[of]
+        a = np.cumsum(less) - less
+        a -= a[base][of]  # less ones before, in the range
+        b = np.cumsum(equal) - equal
+        b -= b[base][of]
+        to = np.where(less, a, np.where(equal, n_less[of] + b, (n_less + n_equal)[of] + rank - a - b))
+        order[start[of] + to] = rows
+        n_more = size - n_less - n_equal
+        start, size, depth = np.r_[start, start + n_less, start + n_less + n_equal], np.r_[n_less, n_equal, n_more], np.r_[depth, depth + 1, depth]
+
+
+def common_prefixes(table: np.ndarray, order: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Bytes that each row of the order shares with the one before; 0 for the first, and where a range begins."""
     out = np.zeros(len(order), np.int64)
     for at in range(1, len(order), 50_000):
         part = order[at - 1 : at + 50_000]
         differ = table[part[1:]] != table[part[:-1]]
         out[at : at + len(part) - 1] = np.where(differ.any(1), differ.argmax(1), table.shape[1])
+    if starts is not None:
+        out[starts] = 0
     return out
 
 
@@ -119,9 +136,11 @@ def match(records: list[tuple], window: int = WINDOW) -> list[np.ndarray]:
     ids = np.array([r[2] for r in records], np.int64)
     rows = np.array([r[3] for r in records], np.int64)
     classes, longest = [], np.zeros(m, np.int64)
+    keys = np.array([r[0] for r in records], np.int64)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if m else np.zeros(0, np.int64)
     for table in _tables(records, at, lo, window, back):
-        order = deep_shallow(table)
-        lcp = common_prefixes(table, order)
+        order = deep_shallow(table, starts=starts)
+        lcp = common_prefixes(table, order, starts)
         classes.append((order, lcp))
         longest[order] += np.maximum(lcp, np.r_[lcp[1:], 0][: len(lcp)])
     # a window needs its length in common with another record, before and behind the anchor together
@@ -191,10 +210,10 @@ def _reader():
     return lambda text: np.frombuffer(text, np.uint8)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n, n_removed, n_spans and kept (bytes, which may cut a character) of each row: without any byte that is covered by a window
     which also starts earlier, in a smaller id or the same row. An empty table gives no rows."""
-    return repeats.remove(df, id_col, text_col, window=window, k=GRAM, reader=_reader, matcher=match, cutter=_Bytes)
+    return repeats.remove(df, id_col, text_col, window=window, k=GRAM, reader=_reader, matcher=match, cutter=_Bytes, hot=hot)
 
 
 def op5_result(df: DataFrame) -> DataFrame:
