@@ -59,7 +59,8 @@ def normalized(text: Column, paragraphs: bool = True, is_nfc: bool = False) -> C
     out = F.regexp_replace(text, "\r\n?", "\n")
     out = out if is_nfc else nfc(out)
     out = F.translate(out, "‐‑‒–−‘’ʼ“”", "-----’’’\"\"")
-    out = F.regexp_replace(out, control_class(), " ")
+    # the exact class has hundreds of ranges; few texts hold any of the wider class that the JVM knows by itself
+    out = let(out, lambda t: F.when(t.rlike(r"[\p{C}&&[^\t\n]]"), F.regexp_replace(t, control_class(), " ")).otherwise(t))
     if not paragraphs:
         return _trimmed(F.regexp_replace(out, f"{SPACE}+", " "))
     each = F.transform(F.split(out, LINE_END), lambda x: _trimmed(F.regexp_replace(x, "[ \t\r\f\x0b]+", " ")))

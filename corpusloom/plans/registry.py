@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import evals, scoring, text, urls
+from corpusloom.functions import evals, scoring, text, tokens, urls
 from corpusloom.operators import admission, conversations, dedup, evidence, leakage, metrics, mixture, outcomes
 from corpusloom.plans import curation
 from corpusloom.plans.scratch import cutter
@@ -707,3 +707,199 @@ e as (select *, least(0.04::double, 1 / count(*) over ()) as share from s), c as
 select source, class, round(share / sum(share) over (), 9) as share from c""")
 def _(docs):
     return evals.mixture_plan(docs.groupBy("source").agg(F.min("lang").alias("class")), 0.04, 0.3).withColumn("share", F.round("share", 9))
+
+
+# whole chains
+
+
+_ADDITIVE = ORACLE_SQL["additive_bands"].split("with ", 1)[1].rsplit("\nselect", 1)[0]
+_DETECT = ORACLE_SQL["detector_scores"].split("with", 1)[1].rsplit("\nselect", 1)[0]
+
+
+@_query("stage1_sources_outcomes", "documents", "benchmark", sql=rf"""with {_ADDITIVE},
+lk as (select id, min(kind) as kind from ({ORACLE_SQL["prompt_leaks"]}) group by id),
+nl as (select doc_id, [array_to_string(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]+'), ' ') for x in regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]') if regexp_matches(x, '[^\s]')] as x from documents),
+g as (select d.doc_id, source, sha256({_N4}) as digest, cast(substr(source, 4) as int) as ord, case when trim(text) = '' then 'empty' when source = 'src19' then 'excluded_source' when length(text) < 150 then 'too_short' when length(text) > 20000 then 'too_long'
+  when contains(text, chr(65533)) then 'replacement_character' when score < 0.25 then 'language_heuristic' when kind is not null then 'sealed_holdout_' || kind when len(x) >= 10 and len(list_distinct(x)) / len(x) < 0.35 then 'repeated_lines' end as reason
+  from documents d join s using (doc_id) join nl using (doc_id) left join lk on lk.id = d.doc_id)
+select doc_id, coalesce(reason, case when row_number() over (partition by digest, reason is null order by ord, doc_id) > 1 then 'normalized_exact_duplicate' end, 'kept') as outcome from g""")
+def _(docs, bench):
+    ordered = docs.select("doc_id", "source", "text", F.substring("source", 4, 9).cast("int").alias("source_ord"), F.col("doc_id").alias("input_row"))
+    out = curation.stage1_sources(ordered, bench, curation.Gates(excluded=("src19",), language=_E, least_score=0.25, by_words=True))
+    return out.select("doc_id", F.coalesce("reason", F.lit("kept")).alias("outcome"))
+
+
+_HASHED = ORACLE_SQL["normalized_forms"].split("flat_sha256,", 1)[1].rsplit(" as text_hash", 1)[0].strip()
+
+
+@_query("generic_outcomes", "documents", sql=f"""with {_DETECT},
+g as (select d.doc_id, source, {_HASHED} as h, case when source = 'src19' then 'barred_source' when length(trim(text)) < 80 then 'short' when score >= 4 then null when score >= 2 then 'quarantine' else 'reject' end as reason from documents d join r using (doc_id))
+select doc_id, source, coalesce(reason, case when row_number() over (partition by h, reason is null order by doc_id) > 1 then 'duplicate' end, 'accepted') as outcome from g""")
+def _(docs):
+    return curation.generic(docs.select("doc_id", "source", "text"), _E, ("src19",))
+
+
+# further scores
+
+_SCRIPT_WORDS = "regexp_extract_all(lower(text), '[A-Za-z''ʼ’]+')"
+_COUNTS = f"""c as (select doc_id, text, {_SCRIPT_WORDS} as w, length(regexp_replace(text, '[^wkWK]', '', 'g')) as marks, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as o, length(regexp_replace(text, '[^Ѐ-ӿ]', '', 'g')) as f from documents),
+h as (select *, len(list_filter(w, lambda x: x in {_list(_E.own)})) as own, len(list_filter(w, lambda x: x in {_list(_E.rival)})) as rival from c)"""
+
+
+@_query("prepared_scores", "documents", sql=rf"""with {_COUNTS}
+select doc_id, round(cast(case when len(w) = 0 then 0.0 else greatest(0.0, least(1.0, 0.20 + least(0.35, marks / 80) + least(0.35, own / greatest(20, len(w)) * 6) - least(0.25, rival / len(w) * 3) - least(0.20, len(regexp_extract_all(text, '[Ѐ-ӿ]{{4,}}')) / len(w)))) end as double), 6) as book,
+  round(cast(case when length(trim(text)) < 20 then 0.0 else greatest(0.0, least(1.0, o / greatest(1, length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))) * 0.45 + case when marks > 0 then 0.25 else 0 end + least(0.25, own * 0.025)
+    - case when len(list_filter(regexp_extract_all(text, '[Ѐ-ӿ]{{3,}}'), lambda x: x not in ('это'))) > 0 then 0.15 else 0 end - least(0.25, rival * 0.04))) end as double), 6) as ready,
+  round(cast(length(regexp_replace(lower(text), '[^wk]', '', 'g')) * 0.2 + own * 0.1 + case when o > 2 * f then 0.3 else -0.2 end as double), 6) as source_score from h""")
+def _(docs):
+    t = F.col("text")
+    return docs.select("doc_id", F.round(scoring.book_score(t, _E), 6).alias("book"), F.round(scoring.ready_score(t, _E, ("это",))["score"], 6).alias("ready"), F.round(scoring.source_score(t, _E), 6).alias("source_score"))
+
+
+_MARKS = {"own": ["the ", "and "], "rival": ["le ", "les "], "other": ["der ", "und "]}
+_n = lambda m: f"(length(lower(text)) - length(replace(lower(text), '{m}', ''))) / {len(m)}"
+_RATES = f"""k as (select *, {_n("the ")} + {_n("and ")} as own, {_n("le ")} + {_n("les ")} as rival, {_n("der ")} + {_n("und ")} as other, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as o, length(regexp_replace(text, '[^Ѐ-ӿ]', '', 'g')) as f from conversations where role = 'assistant'),
+q as (select conv_id, turn, round(own / greatest(own + rival + other, 1), 3) as own_score, own / greatest(own + rival + other, 1) > 0.5 and o > f as is_own, rival > own and rival > other as rival_dominant, other > own and other > rival as other_dominant,
+  length(text) < 60 as too_short, contains(lower(text), 'thou') as mentions, regexp_matches(lower(text), 'sorry|cannot|on.on') as is_refusal from k)"""
+
+
+def _generation():
+    return scoring.generation_score(F.col("text"), _E, _MARKS, ["thou"], "sorry|cannot|on.on", 60)
+
+
+@_query("generation_scores", "conversations", sql=f"with {_RATES} select * from q")
+def _(turns):
+    return turns.filter("role = 'assistant'").select("conv_id", "turn", _generation().alias("s")).select("conv_id", "turn", *(f"s.{c}" for c in ("own_score", "is_own", "rival_dominant", "other_dominant", "too_short", "mentions", "is_refusal")))
+
+
+@_query("language_rates", "conversations", sql=f"""with {_RATES} select count(*) as answers, round(avg(own_score), 4) as mean_own_score, {", ".join(f"round(avg({c}::int), 4) as {c}_rate" for c in ("is_own", "rival_dominant", "other_dominant", "too_short", "mentions", "is_refusal"))} from q""")
+def _(turns):
+    return metrics.language_rates(turns.filter("role = 'assistant'"), _generation())
+
+
+@_query("answer_faults", "conversations", sql=r"""
+select conv_id, turn, array_to_string(list_filter([case when contains(text, 'The ') then 'forbidden_prefix' end, case when regexp_matches(text, '(le ){2,}') then 'repetition_loop' end,
+  case when length(regexp_replace(text, '[^wkWK]', '', 'g')) = 0 and length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 120 then 'weak_signal' end], lambda x: x is not null), ',') as faults from conversations where role = 'assistant'""")
+def _(turns):
+    return turns.filter("role = 'assistant'").select("conv_id", "turn", F.array_join(scoring.answer_faults(F.col("text"), _E, "The ", "(le ){2,}", 120), ",").alias("faults"))
+
+
+@_query("detection_report", "documents", sql=f"""with o as ({ORACLE_SQL["detector_scores"]})
+select count(*) as "rows", count(*) filter (decision = 'accept') as accept, count(*) filter (decision = 'quarantine') as quarantine, count(*) filter (decision = 'reject') as reject, round(sum(score) / greatest(count(*), 1), 4) as average_score,
+  round(count(*) filter (decision = 'accept') / greatest(count(*), 1), 4) as accept_rate from o""")
+def _(docs):
+    return metrics.detection_report(docs.select(scoring.detect(F.col("text"), _E).alias("d")).select("d.score", "d.decision"))
+
+
+# further samples and measures
+
+
+@_query("mixture_check", "documents", sql="""
+with t as (select sum(length(text)) as total, coalesce(sum(length(text)) filter (source = 'src1'), 0) as a, coalesce(sum(length(text)) filter (lang = 'de'), 0) as b from documents)
+select name, cast(chars as bigint) as chars, round(chars / total, 9) as share, cap, chars / total <= cap + 1e-12 as within from (select 'synthetic' as name, a as chars, total, 0.04::double as cap from t union all select 'minor', b, total, 0.5::double from t)""")
+def _(docs):
+    out = mixture.mixture_check(docs.select("source", "lang", F.length("text").cast("long").alias("chars")), {"synthetic": (F.col("source") == "src1", 0.04), "minor": (F.col("lang") == "de", 0.5)})
+    return out.withColumn("share", F.round("share", 9))
+
+
+@_query("round_robin", "documents", sql="select doc_id, cast((row_number() over (order by doc_id) - 1) % 3 as int) as way from documents")
+def _(docs):
+    return mixture.round_robin(docs.select("doc_id"), ["doc_id"], 3)
+
+
+@_query("category_split", "documents", sql="""
+select doc_id, case when row_number() over (partition by lang order by sha256('category' || chr(0) || cast(doc_id as varchar)), doc_id) <= greatest(2, floor(count(*) over (partition by lang) * 0.15)) then 'val' else 'train' end as split from documents""")
+def _(docs):
+    return mixture.category_split(docs.select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "split")
+
+
+@_query("ranked_split", "documents", sql="""
+with r as (select doc_id, row_number() over (order by sha256('pairs' || chr(0) || cast(doc_id as varchar)), cast(doc_id as varchar)) as r, count(*) over () as n from documents)
+select doc_id, case when r <= floor(n * 0.8 + 1e-9) then 'train' when r <= floor(n * (0.8::double + 0.1::double) + 1e-9) then 'val' else 'test' end as split from r""")
+def _(docs):
+    return mixture.ranked_split(docs.select("doc_id"), "doc_id", {"train": 0.8, "val": 0.1, "test": 0.1})
+
+
+@_query("macro_accuracy", "labels", "documents", sql="select count(*) as configs, round(avg(a), 9) as macro_accuracy from (select lang, avg(quality) as a from labels join documents using (doc_id) group by lang)")
+def _(labels, docs):
+    return metrics.macro_accuracy(labels.join(docs.select("doc_id", "lang"), "doc_id"), "lang", F.col("quality") == 1).withColumn("macro_accuracy", F.round("macro_accuracy", 9))
+
+
+@_query("word_census", "documents", sql=f"""
+select source, count(*) as documents, cast(sum(length(text)) as bigint) as chars, cast(sum(strlen(text)) as bigint) as utf8_bytes, cast(sum(len({_W})) as bigint) as content_tokens, count(*) as bos_tokens, cast(sum(len({_W}) + 1) as bigint) as tokens,
+  round(sum(len({_W}) + 1) / (select sum(len({_W}) + 1) from documents), 9) as token_share from documents group by rollup (source)""")
+def _(docs):
+    return metrics.token_census(docs, F.size(text.plain_words(F.col("text")))).withColumn("token_share", F.round("token_share", 9))
+
+
+@_query("token_census", "documents")
+def _(docs):
+    model = tokens.model_bytes("/opt/tokenizers/piece_bpe_32k.model")
+    return metrics.token_census(docs, tokens.count(docs.sparkSession, F.col("text"), model)).withColumn("token_share", F.round("token_share", 9))
+
+
+@_query("candidate_board", "documents", sql='select lang as priority, count(*) as "rows" from documents group by lang')
+def _(docs):
+    return metrics.board(docs.select(F.col("lang").alias("priority")))
+
+
+@_query("leak_audit", "documents", "benchmark", sql=f"""with lk as (select distinct id from ({ORACLE_SQL["prompt_leaks"]}))
+select case when {_VAL} then 'val' else 'train' end as part, count(*) as documents, count(lk.id) as hits from documents left join lk on lk.id = doc_id group by 1""")
+def _(docs, bench):
+    split = docs.withColumn("split", _by_id(docs))
+    return evidence.leak_audit({s: split.filter(F.col("split") == s).select("doc_id", "text") for s in ("train", "val")}, bench)
+
+
+# further conversations
+
+
+@_query("conversation_overlap", "conversations", sql=f"""
+with h as (select conv_id % 2 as half, sha256(string_agg(role || chr(1) || {_CANON}, chr(2) order by turn)) as hash from conversations group by conv_id)
+select hash, 'even' as "left", 'odd' as "right" from (select hash from h where half = 0 intersect select hash from h where half = 1)""")
+def _(turns):
+    return conversations.whole_overlap({"even": turns.filter("conv_id % 2 = 0"), "odd": turns.filter("conv_id % 2 = 1")})
+
+
+@_query("pair_faults", "conversations", sql=f"""with {_CONV},
+f as (select conv_id, case when len(m) <> 2 then 'not_a_pair' when m[1].role <> 'user' or m[2].role <> 'assistant' then 'wrong_roles' when trim(m[1].text) = '' or trim(m[2].text) = '' then 'blank' when trim(m[1].text) = trim(m[2].text) then 'echo' end as fault from c)
+select * from f where fault is not null""")
+def _(turns):
+    return conversations.pair_faults(turns)
+
+
+@_query("contrast_pairs", "conversations", sql="select conv_id, text as prompt, 'In English.' as chosen, 'En français.' as rejected from conversations where role = 'user' and (contains(lower(text), 'que') or contains(lower(text), 'the '))")
+def _(turns):
+    return conversations.contrast_pairs(turns.filter("role = 'user'").select("conv_id", F.col("text").alias("prompt")), "In English.", "En français.", ("que", "the "))
+
+
+def _rendered(turns):
+    """Conversations as ids: each word stands for itself by a hash below 30,000; marks have ids of their own."""
+    encode = lambda m: F.transform(text.plain_words(m["text"]), lambda w: F.pmod(F.xxhash64(w), F.lit(30_000)).cast("int"))
+    return conversations.gathered(turns).select("conv_id", conversations.rendered_ids(F.col("messages"), encode, 30_000, 30_001, 30_002, 30_003).alias("rendered"))
+
+
+_SIZES = f"""{_CONV}, z as (select conv_id, 1 + list_sum([len(regexp_extract_all(lower(x.text), '[\\p{{L}}\\p{{N}}_]+')) for x in m]) + 2 * len(b) as n,
+  coalesce(list_sum([len(regexp_extract_all(lower(x.text), '[\\p{{L}}\\p{{N}}_]+')) + 1 for x in b if x.role = 'assistant']), 0) as s from b)"""
+
+
+@_query("rendered_census", "conversations", sql=f'with {_SIZES} select count(*) as "rows", cast(sum(n) as bigint) as rendered_tokens, cast(sum(s) as bigint) as supervised_tokens, cast(max(n) as int) as max_rendered_tokens from z')
+def _(turns):
+    return metrics.rendered_census(_rendered(turns))
+
+
+@_query("rendered_problems", "conversations", sql=f"with {_SIZES} select conv_id, case when n > 400 then 'exceeds_row_capacity' when s = 0 then 'no_supervised_target' end as problem from z")
+def _(turns):
+    return _rendered(turns).select("conv_id", conversations.rendered_problem(F.col("rendered"), 400).alias("problem"))
+
+
+@_query("sft_rows", "conversations")
+def _(turns):
+    some = _rendered(turns).filter(conversations.rendered_problem(F.col("rendered"), 1025).isNull())
+    out = packing.sft_rows(some, "conv_id", "rendered", 1024, 30_000, 2)
+    return out.select("rank", "row", F.sha2(F.array_join("inputs", ","), 256).alias("inputs_sha256"), F.sha2(F.array_join("targets", ","), 256).alias("targets_sha256"), "content", "supervised", F.col("cursor.consumed").alias("consumed"))
+
+
+@_query("conversation_build", "conversations", "benchmark")
+def _(turns, bench):
+    out = conversations.build(turns, bench.select("text"), cutter(turns.sparkSession), corrections={"que": "ce que"}, is_nfc=True)
+    return out.select("conv_id", F.size("messages").alias("n_messages"), "group_id", "split", "reason")

@@ -32,6 +32,113 @@ def rank_rows(df: DataFrame, ordinal: str, rank: int, world: int) -> DataFrame:
     return df.filter(F.pmod(F.col(ordinal), F.lit(world)) == rank)
 
 
+def rank_cursor(df: DataFrame, ordinal: str, rank: int, world: int, state: dict | None = None) -> DataFrame:
+    """The rank's rows from a cursor on: those of ordinal % world = rank and, with state {ordinal, epoch, identity}, of ordinals from state's on. Both are plain
+    filters, so row groups outside are skipped by their statistics. The caller goes on with epoch + 1 and ordinal 0 after the last."""
+    if not 0 <= rank < world:
+        raise ValueError("the rank must be below the number of ranks")
+    out = rank_rows(df, ordinal, rank, world)
+    if state is not None:
+        if state["ordinal"] < 0 or state["epoch"] < 1:
+            raise ValueError("invalid cursor")
+        out = out.filter(F.col(ordinal) >= state["ordinal"])
+    return out
+
+
+def stream_state(df: DataFrame, order: str, tokens: str, capacity: int, row: int, identity: str) -> dict:
+    """What is needed to go on before row number row of pack(): the document in progress, how many of its tokens are used, and the token that both rows share.
+    row 0 is the start."""
+    if row == 0:
+        return {"identity": identity, "capacity": capacity, "document": None, "offset": 0, "carry": None, "row": 0}
+    place = row * capacity  # of the shared token, which is used up as the last of the row before
+    found = offsets(df.select(order, tokens), order, F.size(tokens)).filter((F.col("offset") <= place) & (F.col("offset") + F.size(tokens) > place)).first()
+    if found is None:
+        raise ValueError(f"there is no row {row}")
+    at = place - found["offset"]
+    return {"identity": identity, "capacity": capacity, "document": found[order], "offset": at + 1, "carry": found[tokens][at], "row": row}
+
+
+def resume(df: DataFrame, order: str, tokens: str, state: dict, capacity: int, identity: str) -> DataFrame:
+    """(row, tokens) of pack() from a state on, read from its document only. The state is refused if it is of other data, another tokenizer or row size, or
+    if the token it carries isn't the one at its place."""
+    if set(state) != {"identity", "capacity", "document", "offset", "carry", "row"}:
+        raise ValueError("invalid state")
+    if state["identity"] != identity or state["capacity"] != capacity:
+        raise ValueError("the state is of other data, another tokenizer or row size")
+    if state["document"] is None:
+        if state["offset"] or state["carry"] is not None or state["row"]:
+            raise ValueError("a state at the start has no offset, carry or row")
+        return pack(df, order, tokens, capacity)
+    current = df.filter(F.col(order) == state["document"]).select(tokens).first()
+    if current is None or not 0 < state["offset"] <= len(current[0]) or current[0][state["offset"] - 1] != state["carry"]:
+        raise ValueError("the state's carry or offset disagrees with its document")
+    rest = df.filter(F.col(order) >= state["document"]).select(order, F.when(F.col(order) == state["document"], F.expr(f"slice({tokens}, {state['offset']}, greatest(size({tokens}) - {state['offset'] - 1}, 0))")).otherwise(F.col(tokens)).alias(tokens))
+    return pack(rest, order, tokens, capacity).withColumn("row", F.col("row") + state["row"])
+
+
+def sft_rows(df: DataFrame, order: str, rendered: str, capacity: int, bos: int, world: int = 1, buffer: int = 100) -> DataFrame:
+    """(rank, row, inputs, targets, content, supervised, cursor): rendered conversations (arrays of id and mask) packed by best_fit's rule into rows of capacity + 1 tokens, filled up
+    with bos; targets are the next tokens, -1 where nothing is learned. cursor (next, consumed, buffer: conversations waiting) is the state before the row, from
+    which packing can go on. A conversation that can't be trained on is an error: filter by conversations.rendered_problem first."""
+    kind = df.schema[order].dataType.simpleString()
+    schema = f"rank int, row long, inputs array<int>, targets array<int>, content int, supervised int, cursor struct<next: {kind}, consumed: long, buffer: array<{kind}>>"
+
+    def run(batches):
+        size = capacity + 1
+        waiting: list[tuple] = []
+        rank, row, consumed, now, mask, before = None, 0, 0, [], [], None
+        out: list[tuple] = []
+
+        def close():
+            nonlocal row, now, mask, before
+            content = len(now)
+            ids, said = now + [bos] * (size - content), mask + [0] * (size - content)
+            targets = [i if m else -1 for i, m in zip(ids[1:], said[1:], strict=True)]
+            out.append((rank, row, ids[:-1], targets, content, sum(t >= 0 for t in targets), before))
+            row, now, mask, before = row + 1, [], [], None
+
+        def take(more: bool, following):
+            nonlocal consumed, before
+            while waiting and (not more or len(waiting) >= buffer):
+                if before is None:
+                    before = {"next": following, "consumed": consumed, "buffer": [w[0] for w in waiting]}
+                fits = [(-len(w[1]), i) for i, w in enumerate(waiting) if len(now) + len(w[1]) <= size]
+                if not fits:
+                    if not now:
+                        raise ValueError(f"conversation {waiting[0][0]} has more than {size} tokens")
+                    close()
+                    continue
+                _, ids, said = waiting.pop(min(fits)[1])
+                now.extend(ids)
+                mask.extend(said)
+                consumed += 1
+                if len(now) == size:
+                    close()
+
+        def made():
+            frame = pd.DataFrame(out, columns=["rank", "row", "inputs", "targets", "content", "supervised", "cursor"])
+            out.clear()
+            return frame
+
+        for pdf in batches:
+            for r, conv, both in zip(pdf["_r"], pdf[order], pdf[rendered], strict=True):
+                if r != rank:
+                    take(False, None)
+                    if now:
+                        close()
+                    rank, row, consumed = int(r), 0, 0
+                take(True, conv)
+                waiting.append((conv, [x["id"] for x in both], [x["mask"] for x in both]))
+            yield made()
+        take(False, None)
+        if now:
+            close()
+        yield made()
+
+    ranked = df.select(F.pmod(F.col(order), F.lit(world)).cast("int").alias("_r"), order, rendered)
+    return ranked.repartition(world, "_r").sortWithinPartitions("_r", order).mapInPandas(run, schema)
+
+
 def best_fit(df: DataFrame, order: str, length: str, capacity: int, world: int = 1, buffer: int = 100) -> DataFrame:
     """(rank, row, conv, at): conversations packed into rows of capacity: from a buffer that is refilled in order, the longest that fits, the first
     on ties. Sequential within a rank, and streamed through it in batches; ranks run in parallel. Conversations longer than capacity have no
