@@ -1,9 +1,10 @@
 """Substring dedup by suffix automata of reference shards.
 
-A shard is the segments of text that share a fingerprint, and its automaton accepts all their factors. Segments stream past it, in the order of
-documents, for matching statistics: the longest suffix read so far that the shard holds. A window is repeated where that is long enough; what isn't
-yet in the automaton then extends it. Shards of unbounded corpora aren't broadcast but meet their segments in one task; a reference of
-bounded size, such as a benchmark, is broadcast in shards by remove_reference().
+The reference is every text, cut to the segments around fingerprints that occur again. A shard is segments of some SHARD words, and its automaton accepts
+all their factors; each state knows the first segment, in the order of documents, that it stands in. Documents' segments stream past the
+automaton for matching statistics, the length of the longest suffix read so far that the shard holds; where that is a window or more, the
+state of just the window tells whether it starts earlier. A shard of an unbounded corpus goes to the one task that meets its fingerprints; a
+reference of bounded size, such as a benchmark, is broadcast in shards by remove_reference().
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from corpusloom.llm.common import batches_of, col, id_text, rows_of
 from corpusloom.llm.neardup import Words
 
 WINDOW, GRAM = 20, 8
+#: Words of the segments in one automaton, but for a segment or group that is longer by itself.
+SHARD = 40_000
 
 
 class SuffixAutomaton:
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
-        self.last = 0
+        self.first = [0]  # the string in which each state first stands
+        self.last = self.string = 0
 
-    def begin(self) -> None:
-        """What follows is another string."""
-        self.last = 0
+    def begin(self, string: int = 0) -> None:
+        """What follows is another string, known by a number."""
+        self.last, self.string = 0, string
 
     def extend(self, c) -> None:
         nxt, link, length = self.next, self.link, self.length
@@ -44,6 +48,7 @@ class SuffixAutomaton:
         nxt.append({})
         length.append(length[p] + 1)
         link.append(0)
+        self.first.append(self.string)
         while p != -1 and c not in nxt[p]:
             nxt[p][c] = cur
             p = link[p]
@@ -58,6 +63,7 @@ class SuffixAutomaton:
         nxt.append(dict(nxt[q]))
         length.append(length[p] + 1)
         link.append(link[q])
+        self.first.append(self.first[q])
         link[q] = new
         while p != -1 and nxt[p].get(c) == q:
             nxt[p][c] = new
@@ -74,6 +80,21 @@ class SuffixAutomaton:
             return nxt[state][c], size + 1
         return 0, 0
 
+    def firsts(self, symbols, window: int) -> list[int]:
+        """For each window of symbols, the first string that holds it; -1 if none does."""
+        state, size, out = 0, 0, []
+        link, length, first = self.link, self.length, self.first
+        for c in symbols:
+            state, size = self.step(state, size, c)
+            if size >= window:
+                q = state
+                while length[link[q]] >= window:
+                    q = link[q]
+                out.append(first[q])
+            else:
+                out.append(-1)
+        return out[window - 1 :]
+
     def statistics(self, symbols) -> list[int]:
         state, size, out = 0, 0, []
         for c in symbols:
@@ -84,59 +105,47 @@ class SuffixAutomaton:
 
 def match(records: list[tuple], window: int = WINDOW) -> list[np.ndarray]:
     """For each record, which of its windows also occur in a record of a smaller id, or before in the same row. Records come
-    sorted by key, salt, id and place."""
+    sorted by key, salt, id and place; whole groups of one key and salt make a shard."""
     out: list[np.ndarray] = []
-    at = 0
-    while at < len(records):
-        end = at
-        while end < len(records) and records[end][:2] == records[at][:2]:
-            end += 1
-        out += _shard(records[at:end], window)
-        at = end
-    return out
+    at = words = 0
+    for i, r in enumerate(records):
+        if words >= SHARD and r[:2] != records[i - 1][:2]:
+            out += _shard(records[at:i], window)
+            at, words = i, 0
+        words += r[6] - r[5] + window
+    return out + _shard(records[at:], window) if records else out
 
 
 def _shard(records: list[tuple], window: int) -> list[np.ndarray]:
+    order = sorted(range(len(records)), key=lambda i: (records[i][2], records[i][4]))
     machine = SuffixAutomaton()
-    known: set[tuple] = set()
+    split: dict[bytes, list[bytes]] = {}
+    for i in order:
+        part = records[i][7]
+        if part not in split:
+            split[part] = part.split(b" ")
+            machine.begin(i)
+            for w in split[part]:
+                machine.extend(w)
+    ids, rows, places = (np.array([r[k] for r in records], np.int64) for k in (2, 3, 4))
+    firsts = {part: np.array(machine.firsts(words, window), np.int64) for part, words in split.items()}
     out: list[np.ndarray] = []
-
-    def add(to: SuffixAutomaton, part: bytes) -> None:
-        to.begin()
-        for w in part.split(b" "):
-            to.extend(w)
-
-    at = 0
-    while at < len(records):
-        end = at
-        while end < len(records) and records[end][2] == records[at][2]:
-            end += 1
-        one = records[at:end]  # of one id
-        several = len({r[3] for r in one}) > 1
-        own: dict[int, SuffixAutomaton] = {}
-        for _, _, _, r, a, lo, hi, part in one:
-            if (a - lo, part) in known:
-                out.append(np.ones(hi - lo + 1, bool))
-                continue
-            words = part.split(b" ")
-            flags = np.array([s >= window for s in machine.statistics(words)[window - 1 :]], bool)
-            if several:  # rows of one id don't precede each other: only a row's own earlier segments count
-                mine = own.setdefault(r, SuffixAutomaton())
-                flags |= np.array([s >= window for s in mine.statistics(words)[window - 1 :]], bool)
-                add(mine, part)
-            else:
-                known.add((a - lo, part))
-                add(machine, part)
-            out.append(flags)
-        if several:
-            for _, _, _, _, a, lo, _, part in one:
-                if (a - lo, part) not in known:
-                    known.add((a - lo, part))
-                    add(machine, part)
-        at = end
+    for i, r in enumerate(records):
+        first = firsts[r[7]]
+        same = ids[first] == ids[i]
+        flags = (ids[first] < ids[i]) | (same & (rows[first] == rows[i]) & (places[first] < places[i]))
+        for j in np.flatnonzero(same & (rows[first] != rows[i])).tolist():
+            # the first stands in another row of the id, which doesn't precede: look for an earlier one in the same row
+            own = split[r[7]][j : j + window]
+            flags[j] = any(o[2:4] == r[2:4] and o[4] < r[4] and o[0] == r[0] and _holds(split[o[7]], own) for o in records)
+        out.append(flags)
     return out
 
 
+def _holds(words: list[bytes], some: list[bytes]) -> bool:
+    return any(words[a : a + len(some)] == some for a in range(len(words) - len(some) + 1))
+
+
 class _Words:
     @staticmethod
     def symbols(text: bytes) -> list[bytes]:
@@ -165,10 +174,10 @@ def _reader():
     return read
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n (words), n_removed, n_spans and kept (words joined by one space, as bytes) of each row: without any word that is
     covered by a window which also starts earlier, in a smaller id or the same row. An empty table gives no rows."""
-    return repeats.remove(df, id_col, text_col, window=window, k=GRAM, reader=_reader, matcher=match, cutter=_Words)
+    return repeats.remove(df, id_col, text_col, window=window, k=GRAM, reader=_reader, matcher=match, cutter=_Words, hot=hot)
 
 
 def remove_reference(df: DataFrame, reference: list[bytes], id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, max_words: int = 2_000_000, shard_words: int = 200_000) -> DataFrame:
