@@ -147,6 +147,46 @@ def test_fingerprints(spark):
     assert {d: r.fingerprint for d, r in got.items()} == alone
 
 
+def test_fingerprints_by_brute_force(spark):
+    import xxhash
+
+    rows = corpus() + [(200, "same text here"), (201, "same text here"), (202, "a b c"), (203, "")]
+    got = {r.doc_id: r for r in imatch.op4_result(frame(spark, rows), low=0.03, high=0.4, rows_in_bucket=9).collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    term = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    terms = lambda t: {term(w) for w in re.findall(r"[^\W_]+", t.lower())}
+    texts = {d: t or "" for d, t in rows}
+    seen = [h for t in texts.values() for h in terms(t)]
+    lexicon = {h for h in set(seen) if max(1.0, 0.03 * len(rows)) <= seen.count(h) <= max(2.0, 0.4 * len(rows))}
+
+    def chain(values):  # the hash of an array goes on from element to element
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), h)
+        return f"{h:016X}"
+
+    def fingerprint(t):
+        own = sorted(terms(t) & lexicon)
+        parts = [[x for x in own if x >> s & 1] for s in range(imatch.SUBSETS)]
+        return tuple(chain(p) if p else "." for p in parts) if own else ("-" + chain(sorted(terms(t))).lstrip("0"),)
+
+    def like(x, y):
+        if x == y:
+            return 1.0
+        some = [p == q for p, q in zip(x, y, strict=False) if p != "." or q != "."]
+        return sum(some) / len(some) if len(x) == len(y) > 1 and some else 0.0
+
+    order = sorted(texts, reverse=True)
+    some = 0
+    for d, nxt in zip(order, order[1:] + order[:1], strict=True):
+        k = len(texts[d]) // 3
+        mine, edited, other = fingerprint(texts[d]), fingerprint(texts[d][: len(texts[d]) - k] + texts[nxt][:k]), fingerprint(texts[nxt])
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (",".join(mine), ",".join(edited))
+        assert (got[d].near_edited, got[d].near_next) == pytest.approx((like(mine, edited), like(mine, other)))
+        some += 0 < like(mine, edited) < 1 or 0 < like(mine, other) < 1
+    assert len(lexicon) > 20 and some
+
+
 def test_suffix_dedup(spark):
     rows = corpus()
     want = sorted(((d, n, r, k, sha(t)) for d, n, r, k, t in suffixsort.brute(rows)), key=repr)
@@ -161,6 +201,24 @@ def test_substring_dedup(spark):
     assert automaton.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("module", [suffixsort, automaton])
+@pytest.mark.parametrize("hot", [1, 5])
+def test_hot_anchors_are_compared_in_parts(spark, module, hot):
+    rnd = random.Random(hot)
+    say = lambda k: " ".join(rnd.choice(WORDS) + str(rnd.randrange(40)) for _ in range(k))
+    line, short = say(60), say(10)  # a line longer than a window, and one that stands in many surroundings
+    rows = corpus() + [(100 + i, say(rnd.randrange(30)) + " " + (line if i % 2 else short) + " " + say(25)) for i in range(60)] + [(300, f"{line} x {line} y {line}"), (301, f"{short} " * 20)]
+    want = [(d, n, *r[:-1], sha(r[-1])) for d, n, *r in module.brute(rows)]
+    made = module.remove_repeats(frame(spark, rows), hot=hot)
+    got = suffixsort.op5_result(made) if module is suffixsort else automaton.op7_result(made)
+    assert collected(got) == sorted(want, key=repr)
+
+
+def test_string_ids_are_refused(spark):
+    with pytest.raises(TypeError, match="integer"):
+        suffixsort.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("module", [suffixsort, automaton])
 def test_rows_of_one_id_do_not_precede_each_other(spark, module):
     long, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
