@@ -1,11 +1,11 @@
 """Document fingerprints by I-Match, in DataFrame functions only.
 
 The lexicon holds the terms whose document frequency lies in a band of shares of all documents. Its lower end is a share too, so
-the lexicon has at most (mean distinct terms of a document) / LOW terms, whatever the number of documents. A document's lexicon
-terms are spread over randomised lexicon subsets; the sorted distinct terms in each of PARTS subsets are hashed.
-Subsets halve from level to level, and a document uses the two levels at which a subset holds about one of its terms, so that
-short and long documents have subsets of like sensitivity. Likeness is the share of subsets with equal
-hashes, among those with a term on either side, at a level that both have.
+the lexicon has at most (mean distinct terms of a document) / LOW terms, whatever the number of documents. It has SUBSETS randomised subsets,
+the same for every document, each of half of its terms: term t belongs to subset s if bit s of its hash is set. A document's
+distinct lexicon terms are sorted, and those in each subset are hashed; its fingerprint is the list of these hashes. A change of c lexicon terms leaves
+a subset's hash as it is with a probability of 2 ** -c. Likeness is the share of subsets with equal hashes, among those with
+a term on either side.
 
 Null and empty texts have no terms. Without lexicon terms a fingerprint is the hash of all terms, and likeness is 1 or 0.
 """
@@ -14,12 +14,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusloom.llm.common import Scratch, col, let, small
 
-PARTS = 32
+SUBSETS = 16
 LOW, HIGH = 0.0005, 0.1
+#: Bytes of texts that a task of op4_result is to hold, on average.
+TASK_BYTES = 32 << 20
 _END = -1  # stands in each document and in the lexicon, so that no document is lost
+_NONE = "."  # the code of a subset without a term
 
 
 def terms_of(text: Column) -> Column:
@@ -36,30 +40,18 @@ def lexicon(df: DataFrame, text_col: str = "text", *, low: float = LOW, high: fl
     return kept.union(df.sparkSession.range(1).select(F.lit(_END).cast("long").alias("term")))
 
 
-def _level(size: Column) -> Column:
-    """Halvings of the lexicon after which a document of so many terms has one or two in a subset."""
-    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)) / PARTS))).cast("int")
-
-
-def _codes(terms: Column, level: Column) -> Column:
-    def of(mask: Column) -> Column:
-        used = F.filter(terms, lambda t: t.bitwiseAND(mask) < PARTS)
-        # terms are sorted, so each subset's are
-        return let(used, lambda u: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: let(F.filter(u, lambda t: t.bitwiseAND(mask) == r), _code)), ""))
-
-    return let((F.pow(F.lit(2.0), level) * PARTS).cast("long") - 1, of)
-
-
-def _code(part: Column) -> Column:
-    return F.when(F.size(part) == 0, F.lit("....")).otherwise(F.right(F.hex(F.xxhash64(part)), F.lit(4)))
-
-
 def _fingerprint(terms: Column, every: Column) -> Column:
     """The fingerprint of sorted lexicon terms; every is the hash of all terms."""
 
+    def code(part: Column) -> Column:
+        return F.when(F.size(part) == 0, _NONE).otherwise(F.lpad(F.hex(F.xxhash64(part)), 16, "0"))
+
+    def within(t: Column, s: int) -> Column:
+        return F.filter(t, lambda x: F.getbit(x, F.lit(s)) == 1)
+
     def of(t: Column) -> Column:
-        two = let(_level(F.size(t)), lambda n: F.concat_ws("/", n.cast("string"), _codes(t, n), _codes(t, n + 1)))
-        return F.when(F.size(t) > 0, two).otherwise(F.concat(F.lit("-/"), F.hex(every)))
+        codes = F.array(*(let(within(t, s), code) for s in range(SUBSETS)))
+        return F.when(F.size(t) > 0, F.array_join(codes, ",")).otherwise(F.concat(F.lit("-"), F.hex(every)))
 
     return let(terms, of)
 
@@ -68,15 +60,11 @@ def likeness(x: str, y: str) -> Column:
     """Share of equal subsets, 0 to 1."""
 
     def of(a: Column, b: Column) -> Column:
-        la, lb = a[0].try_cast("int"), b[0].try_cast("int")
-        ca = F.when(lb == la + 1, a[2]).otherwise(a[1])
-        cb = F.when(la == lb + 1, b[2]).otherwise(b[1])
-        pairs = let(ca, lambda p: let(cb, lambda q: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(F.substr(p, i * 4 + 1, F.lit(4)).alias("p"), F.substr(q, i * 4 + 1, F.lit(4)).alias("q")))))
-        share = let(F.filter(pairs, lambda z: (z["p"] != "....") | (z["q"] != "....")), lambda some: F.when(F.size(some) > 0, F.size(F.filter(some, lambda z: z["p"] == z["q"])) / F.size(some)).otherwise(F.lit(0.0)))
-        return F.when(la.isNull() | lb.isNull() | (F.abs(la - lb) > 1), F.lit(0.0)).otherwise(share)
+        some = F.filter(F.zip_with(a, b, lambda p, q: F.when((p != _NONE) | (q != _NONE), (p == q).cast("int"))), lambda z: z.isNotNull())
+        return let(some, lambda z: F.when(F.size(z) > 0, F.size(F.array_remove(z, 0)) / F.size(z)).otherwise(0.0))
 
-    parts = let(F.split(F.col(x), "/"), lambda a: let(F.split(F.col(y), "/"), lambda b: of(a, b)))
-    return F.when(F.col(x) == F.col(y), F.lit(1.0)).otherwise(parts).cast("double")
+    both = let(F.split(F.col(x), ","), lambda a: let(F.split(F.col(y), ","), lambda b: F.when((F.size(a) == SUBSETS) & (F.size(b) == SUBSETS), of(a, b)).otherwise(0.0)))
+    return F.when(F.col(x) == F.col(y), F.lit(1.0)).otherwise(both).cast("double")
 
 
 def _tagged(terms: str, of: int) -> Column:
@@ -108,6 +96,15 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return made.select("doc_id", _fingerprint(F.col("own_terms"), F.col("own_all")).alias("fingerprint"))
 
 
+def _with_next(tops: DataFrame, run: int = 10_000) -> DataFrame:
+    """tops with above: the next bucket that is there, and for the last the first. Runs of buckets are ordered each in a task of its own; only one row
+    a run, of some run * 500 documents, goes through a single task."""
+    runs = tops.withColumn("run", F.floor(F.col("bucket") / run))
+    edges = runs.groupBy("run").agg(F.min("bucket").alias("lowest")).selectExpr("run", "coalesce(lead(lowest) over (order by run), min(lowest) over ()) as beyond")
+    inner = runs.withColumn("above", F.expr("lead(bucket) over (partition by run order by bucket)"))
+    return inner.join(small(edges), "run").select("bucket", "top", F.coalesce("above", "beyond").alias("above"))
+
+
 def op4_result(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, low: float = LOW, high: float = HIGH, rows_in_bucket: int = 500) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document's, by descending numeric id (null last; rows of one
     id by descending text); the last document's next is the first.
@@ -115,10 +112,12 @@ def op4_result(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     Documents are dealt out once, in buckets of neighbouring ids; the first row of the next bucket stands in both.
     """
     spark = df.sparkSession
+    if not isinstance(df.select(col(id_col)).schema[0].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, as ids tell which document is next")
     scratch = Scratch(spark, "imatch")
     docs = df.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     lex = scratch.cut(lexicon(docs, "text", low=low, high=high), "lexicon")
-    n, lo, hi, cuts = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 2000)).first()
+    n, size, lo, hi, cuts = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 2000)).first()
     edges = sorted({int(lo), *map(int, cuts), int(hi) + 1}) if lo is not None else [0, 1]
     per = max(1, n // (len(edges) * rows_in_bucket) + 1)  # buckets of equal width between two of 64 quantiles
     bounds = F.array(*(F.lit(e).cast("long") for e in edges))
@@ -127,12 +126,12 @@ def op4_result(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     within = F.floor((F.col("doc_id") - a).cast("double") * per / F.greatest(b - a, F.lit(1)))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part.cast("long") * per + F.least(within, F.lit(per - 1))).cast("long")
     docs = docs.withColumn("bucket", bucket)
-    # the greatest id of each bucket also goes to the bucket above; that of all goes to the lowest. One row a bucket here
-    tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"), F.count("*").alias("rows")).selectExpr("bucket", "top", "coalesce(lead(bucket) over (order by bucket), min(bucket) over ()) as above")
-    tops = scratch.cut(tops, "tops")
+    # the greatest id of each bucket also goes to the bucket above; that of all goes to the lowest
+    tops = scratch.cut(docs.groupBy("bucket").agg(F.max("doc_id").alias("top")), "tops")
+    tops = scratch.cut(_with_next(tops), "next")
     first = docs.join(small(tops.select("top", F.col("bucket").alias("of"), "above")), F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("bucket") == F.col("of"))).select("doc_id", "text", F.col("above").alias("bucket"), F.lit(1).alias("extra"))
     both = docs.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(first)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
     both = both.repartition(parts, "bucket")
     order = "partition by bucket order by extra, doc_id desc nulls last, text desc"
     both = both.withColumn("next", F.expr(f"lead(text) over ({order})")).withColumn("place", F.expr(f"row_number() over ({order})"))
