@@ -14,8 +14,9 @@ from corpusloom.functions.text import WORD, let, plain_words, windows
 @dataclass(frozen=True)
 class LanguageProfile:
     """script and foreign: character classes; markers: letters that only this language has; own: its frequent words; rival: words of its nearest
-    neighbour; other: words of a second neighbour; distant: words of a language of another script; names: technical names that are taken out, with URLs and inline
-    code, before letters and words are counted; code: whether lines of program code count against a text."""
+    neighbour; other: words of a second neighbour; distant: words of a language of another script; names: technical names that are taken out
+    before letters and words are counted; code: whether program code counts against a text; rival_marks, other_marks: letters that only
+    the nearest or the second neighbour has."""
 
     script: str
     foreign: str
@@ -26,6 +27,8 @@ class LanguageProfile:
     distant: frozenset[str] = frozenset()
     names: tuple[str, ...] = field(default=())
     code: bool = False
+    rival_marks: str = ""
+    other_marks: str = ""
 
     @property
     def rival_only(self) -> list[str]:
@@ -42,7 +45,7 @@ CODE = r"(?m)^\s*(?:def|class|import|function|const|var|public|#include)\b.*[({;
 #: For tables in Latin script: English against French, German and Spanish.
 ENGLISH = LanguageProfile(
     "A-Za-z", "Ѐ-ӿ", "wk", frozenset("the and of to in is was that it for with as on by this are be at from or an".split()),
-    frozenset("le la les de des et du un une en que qui dans pour par sur au ce il elle".split()), frozenset("der die das und den von zu mit ist im für auf dem ein eine".split()), frozenset("что это как для".split()),
+    frozenset("le la les de des et du un une en que qui dans pour par sur au ce il elle".split()), frozenset("der die das und den von zu mit ist im für auf dem ein eine".split()), frozenset("что это как для".split()), other_marks="äöüß",
 )
 
 
@@ -91,10 +94,12 @@ def detect(text: Column, p: LanguageProfile, accept: float = 4.0, quarantine: fl
         return let(without_names(whole, p.names), lambda t: cleaned(whole, t)) if p.names else cleaned(whole, whole)
 
     def cleaned(whole: Column, t: Column) -> Column:
+        # the windows are those of the text as it is
         tokens = plain_words(t)
+        mix = let(plain_words(whole), lambda w: _mixed(sides(w, p))) if p.names else None
         return F.struct(
-            F.length(F.trim(whole)).alias("chars"), _chars(t, p.script).alias("script"), _chars(t, p.foreign).alias("foreign"), count_of(t, p.markers + p.markers.upper()).alias("marks"),
-            whole.rlike(r"(?i)https?://|www\.").alias("url"), (whole.rlike(CODE) if p.code else F.lit(False)).alias("code"), let(tokens, lambda w: F.struct(F.array_distinct(w).alias("words"), _mixed(sides(w, p)).alias("mixed"))).alias("of"),
+            F.length(F.trim(t)).alias("chars"), _chars(t, p.script).alias("script"), _chars(t, p.foreign).alias("foreign"), count_of(t, p.markers + p.markers.upper()).alias("marks"),
+            t.rlike(r"(?i)https?://|www\.").alias("url"), (t.rlike(CODE) if p.code else F.lit(False)).alias("code"), let(tokens, lambda w: F.struct(F.array_distinct(w).alias("words"), (_mixed(sides(w, p)) if mix is None else mix).alias("mixed"))).alias("of"),
         )
 
     def scored(c: Column) -> Column:
@@ -125,7 +130,7 @@ def detect(text: Column, p: LanguageProfile, accept: float = 4.0, quarantine: fl
             (other >= 2, -F.least(F.lit(3.0), 0.8 * other), "other_words"),
             ((far >= 4) | ((far >= 2) & (other_share > 0.20)), -F.least(F.lit(3.0), 0.6 * far), "distant_words"),
             (v["url"], F.lit(-0.5), "url_present"),
-            (v["code"], F.lit(-0.5), "code_present"),
+            (v["code"] & (other_share > 0.15), F.lit(-2.0), "code_or_config_like"),
         ]
         total = F.lit(0.0)
         for cond, points, _ in rules:
@@ -170,22 +175,34 @@ def window_share(tokens: Column, predicate, size: int = 40, stride: int = 20, le
 
 
 def web_problem(text: Column, p: LanguageProfile) -> Column:
-    """First reason against a web row: rival segments, foreign letters, no evidence, rival or foreign windows, repetition; or null."""
+    """First reason against a web row: rival segments, foreign letters, a neighbour's letters, no evidence, rival or foreign windows, repetition; or null."""
+    rival = lambda x: x.isin(p.rival_only) | (x.rlike(f"[{p.rival_marks}]") if p.rival_marks else F.lit(False))
+    own = lambda x: x.isin(p.own_only) | x.rlike(f"[{p.markers}]")
+
+    def rival_window(x: Column) -> Column:
+        c = F.struct(F.size(F.filter(x, lambda v: v.isin(1, 3))).alias("r"), F.size(F.filter(x, lambda v: v >= 2)).alias("o"), F.size(x).alias("n"))
+        return let(c, lambda c: (c["r"] >= 6) & (c["r"] / c["n"] >= 0.25) & (c["o"] / F.greatest(c["r"], F.lit(1)) <= 0.25))
+
+    def counted(w: Column) -> Column:
+        of = F.transform(w, lambda x: F.when(rival(x), 1).otherwise(0) + F.when(own(x), 2).otherwise(0))
+        foreign = F.transform(w, lambda x: x.rlike(f"^[{p.foreign}]+$"))
+        marked = F.size(F.filter(w, lambda x: x.rlike(f"[{p.other_marks}]"))) if p.other_marks else F.lit(0)
+        return let(F.array_join(w, ""), lambda t: F.struct(
+            F.size(w).alias("n"), F.length(F.regexp_replace(t, r"[^\p{L}]", "")).alias("letters"), _chars(t, p.script).alias("own"), count_of(t, p.markers).alias("marks"), _hits(w, p.own_only).alias("evidence"), marked.alias("marked"),
+            window_share(of, rival_window).alias("rival"), window_share(foreign, lambda x: F.size(F.filter(x, lambda v: v)) / F.size(x) >= 0.75).alias("foreign"),
+            F.size(F.array_distinct(w)).alias("distinct"), mixed(w, p).alias("mixed"),
+        ))
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        letters, own = F.length(F.regexp_replace(F.array_join(w, ""), r"[^\p{L}]", "")), _chars(F.array_join(w, ""), p.script)
-        rival = window_share(w, lambda x: let(F.size(F.filter(x, lambda v: v.isin(p.rival_only))), lambda k: (k >= 6) & (k / F.size(x) >= 0.25)))
-        foreign = window_share(w, lambda x: F.size(F.filter(x, lambda v: v.rlike(f"^[{p.foreign}]+$"))) / F.size(x) >= 0.75)
+    def of(c: Column) -> Column:
+        n = F.greatest(c["n"], F.lit(1))
         return (
-            F.when(mixed(w, p), "rival_segments").when((letters > 0) & (own / F.greatest(letters, F.lit(1)) < 0.65), "foreign_script_dominant")
-            .when((count_of(F.array_join(w, ""), p.markers) == 0) & (_hits(w, p.own_only) < 2), "no_evidence")
-            .when((rival >= 20) & (rival / F.greatest(n, F.lit(1)) >= 0.10), "rival_windows")
-            .when((foreign >= 40) & (foreign / F.greatest(n, F.lit(1)) >= 0.20), "foreign_windows")
-            .when((n >= 100) & (F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1)) < 0.05), "extreme_token_repetition")
+            F.when(c["mixed"], "rival_segments").when((c["letters"] > 0) & (c["own"] / F.greatest(c["letters"], F.lit(1)) < 0.65), "foreign_script_dominant")
+            .when((c["marked"] >= 4) & (c["marked"] / n >= 0.03), "neighbour_marked").when((c["marks"] == 0) & (c["evidence"] < 2), "no_evidence")
+            .when((c["rival"] >= 20) & (c["rival"] / n >= 0.10), "rival_windows").when((c["foreign"] >= 40) & (c["foreign"] / n >= 0.20), "foreign_windows")
+            .when((c["n"] >= 100) & (c["distinct"] / n < 0.05), "extreme_token_repetition")
         )
 
-    return let(plain_words(F.coalesce(text, F.lit(""))), of)
+    return let(let(plain_words(F.coalesce(text, F.lit(""))), counted), of)
 
 
 def fragmented(text: Column, least: int = 120, short_share: float = 0.82, long_share: float = 0.03, mean: float = 3.0, common: frozenset[str] = frozenset(), rare_share: float = 0.0) -> Column:
@@ -229,8 +246,8 @@ def _runs(text: Column, kind: str, least: int) -> Column:
 
 
 def without_names(text: Column, names: tuple[str, ...]) -> Column:
-    """text without URLs, inline code and the given technical names, which say nothing about its language."""
-    out = F.regexp_replace(text, r"(?i)https?://\S+|www\.\S+|`[^`\n]*`", " ")
+    """text without the given technical names, which say nothing about its language."""
+    out = text
     for name in sorted(names, key=lambda n: (-len(n), n)):
         out = F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(name)}(?![\p{{L}}\p{{N}}_])", " ")
     return out

@@ -207,11 +207,12 @@ def _(docs):
 
 @_query("web_problems", "documents", sql=rf"""with {_MIXED},
 parts as (select doc_id, i, w[i + 1 : i + 40] as x, least(i + 40, len(w)) as e from (select doc_id, w, unnest(range(0, len(w), 20)) as i from t)),
-hit as (select doc_id, i, e, len(list_filter(x, lambda v: v in {_list(_E.rival_only)})) as r, len(list_filter(x, lambda v: regexp_matches(v, '^[Ѐ-ӿ]+$'))) as f, len(x) as n from parts where len(x) >= 20),
-rp as (select doc_id, count(distinct p) as rival from (select doc_id, unnest(range(i, e)) as p from hit where r >= 6 and r / n >= 0.25) group by doc_id),
+hit as (select doc_id, i, e, len(list_filter(x, lambda v: v in {_list(_E.rival_only)})) as r, len(list_filter(x, lambda v: v in {_list(_E.own_only)} or regexp_matches(v, '[wk]'))) as o, len(list_filter(x, lambda v: regexp_matches(v, '^[Ѐ-ӿ]+$'))) as f, len(x) as n from parts where len(x) >= 20),
+rp as (select doc_id, count(distinct p) as rival from (select doc_id, unnest(range(i, e)) as p from hit where r >= 6 and r / n >= 0.25 and o / greatest(r, 1) <= 0.25) group by doc_id),
 fp as (select doc_id, count(distinct p) as foreign_ from (select doc_id, unnest(range(i, e)) as p from hit where f / n >= 0.75) group by doc_id),
 j as (select t.doc_id, w, mixed, coalesce(rival, 0) as rival, coalesce(foreign_, 0) as foreign_, array_to_string(w, '') as s, regexp_extract_all(lower(text), '\p{{L}}+') as l from t join mixed using (doc_id) left join rp using (doc_id) left join fp using (doc_id))
 select doc_id, case when mixed then 'rival_segments' when length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) > 0 and length(regexp_replace(s, '[^A-Za-z]', '', 'g')) / length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) < 0.65 then 'foreign_script_dominant'
+  when len(list_filter(w, lambda x: regexp_matches(x, '[äöüß]'))) >= 4 and len(list_filter(w, lambda x: regexp_matches(x, '[äöüß]'))) / greatest(len(w), 1) >= 0.03 then 'neighbour_marked'
   when length(regexp_replace(s, '[^wk]', '', 'g')) = 0 and len(list_filter(w, lambda x: x in {_list(_E.own_only)})) < 2 then 'no_evidence' when rival >= 20 and rival / greatest(len(w), 1) >= 0.10 then 'rival_windows'
   when foreign_ >= 40 and foreign_ / greatest(len(w), 1) >= 0.20 then 'foreign_windows' when len(w) >= 100 and len(list_distinct(w)) / len(w) < 0.05 then 'extreme_token_repetition' end as problem,
   case when len(l) < 120 then false else len(list_filter(l, lambda x: length(x) <= 3)) / len(l) >= 0.82 and len(list_filter(l, lambda x: length(x) >= 6)) / len(l) <= 0.03 and list_sum([length(x) for x in l]) / len(l) <= 3.0 end as fragmented from j""")
@@ -393,6 +394,12 @@ def _(docs):
     return leakage.cross_split_spans(split.filter("split = 'train'"), split.filter("split = 'val'"), "doc_id")
 
 
+@_query("validation_without_spans", "documents", sql=f"""with h as (select distinct val_id from ({ORACLE_SQL["cross_split_spans"]})) select doc_id from documents where {_VAL} and doc_id not in (select val_id from h)""")
+def _(docs):
+    split = docs.withColumn("split", _by_id(docs))
+    return leakage.without_shared_spans(split.filter("split = 'train'"), split.filter("split = 'val'"), "doc_id")[0].select("doc_id")
+
+
 _OVERLAP = f"""
 with p as (select item_id, {_W} as w from benchmark), t as (select {_W} as w from documents),
 pg as (select distinct item_id, array_to_string(w[i : i + 4], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 3)) as i from p)),
