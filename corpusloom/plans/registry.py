@@ -254,8 +254,8 @@ def _(docs, labels):
     return outcomes.top_reasons(curation.stage1(docs, labels, curation.Gates(excluded=("src19",))).filter("reason is not null").select(F.array("reason").alias("reasons")))
 
 
-@_query("provenance_coverage", "documents", "pages", sql="select (select avg(case when nullif(trim(source), '') is not null then 1.0 else 0 end) from documents) as source, (select avg(case when nullif(trim(lang), '') is not null then 1.0 else 0 end) from documents) as language")
-def _(docs, pages):
+@_query("provenance_coverage", "documents", sql="select (select avg(case when nullif(trim(source), '') is not null then 1.0 else 0 end) from documents) as source, (select avg(case when nullif(trim(lang), '') is not null then 1.0 else 0 end) from documents) as language")
+def _(docs):
     return outcomes.coverage_of(docs, {"source": ["source"], "language": ["lang"]})
 
 
