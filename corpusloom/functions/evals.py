@@ -75,6 +75,21 @@ def role_language(turns: DataFrame, profile: scoring.LanguageProfile, strict: bo
     return bad.join(exceptions, ["role", "digest"], "left_anti").drop("digest") if exceptions is not None else bad.drop("digest")
 
 
+def role_language_report(turns: DataFrame, profile: scoring.LanguageProfile, mode: str = "historical", exceptions: DataFrame | None = None) -> DataFrame:
+    """(role, decision, rows) of the messages but system ones. mode: historical judges answers, strict users' messages too, schema none (decision unchecked);
+    reviewed exceptions (role, digest) count as such. A message of up to three words without a decision against it by letters is ambiguous, not refused."""
+    if mode not in ("historical", "strict", "schema"):
+        raise ValueError("mode must be historical, strict or schema")
+    seen = turns.filter("role <> 'system'").select("role", F.sha2("text", 256).alias("digest"), scoring.detect(F.col("text"), profile, least=10)["decision"].alias("d"), (F.size(scoring.plain_words(F.col("text"))) <= 3).alias("few"))
+    judged = F.lit(mode == "strict") | (F.lit(mode == "historical") & (F.col("role") == "assistant"))
+    if exceptions is not None:
+        seen = seen.join(exceptions.select("role", "digest").distinct().withColumn("reviewed", F.lit(True)), ["role", "digest"], "left")
+    else:
+        seen = seen.withColumn("reviewed", F.lit(None).cast("boolean"))
+    decision = F.when(~judged, "unchecked").when(F.col("reviewed") & (F.col("d") == "reject"), "reviewed").when((F.col("d") == "reject") & F.col("few"), "ambiguous").otherwise(F.col("d"))
+    return seen.groupBy("role", decision.alias("decision")).agg(F.count("*").alias("rows"))
+
+
 def mixture_plan(sources: DataFrame, per_source: float, per_class: float) -> DataFrame:
     """(source, class, share): even shares, capped for each source and, in proportion, for each class, then scaled to one."""
     from pyspark.sql import Window as W

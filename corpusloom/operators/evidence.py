@@ -8,10 +8,11 @@ import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import leakage
-from corpusloom.sources.sinks import differing
+from corpusloom.sources.sinks import differing, shard_ledger
 
 
 def source_accounting(seen: DataFrame, quarantined: DataFrame, final: DataFrame) -> DataFrame:
@@ -186,3 +187,46 @@ def path_faults(inputs: list[str], outputs: list[str]) -> list[str]:
             if a == b or a in b.parents or b in a.parents:
                 faults.append(f"{o} overlaps {i}")
     return sorted(set(faults))
+
+
+def stream_digest(df: DataFrame, order: list[str]) -> str:
+    """A digest of the rows of df in order, whatever their partitions: each row's hash with its place, added up. Equal streams have equal digests."""
+    columns = sorted(df.columns)
+    ranged = df.repartitionByRange(64, *order).withColumn("_b", F.spark_partition_id())
+    totals = ranged.groupBy("_b").agg(F.count("*").alias("_t"))
+    shift = totals.select("_b", F.coalesce(F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    place = F.col("_o") + F.row_number().over(W.partitionBy("_b").orderBy(*order))
+    row = F.sha2(F.to_json(F.struct(place.alias("_place"), *columns)), 256)
+    halves = [F.sum(F.conv(F.substring("h", a, 15), 16, 10).cast("decimal(38,0)")).cast("string") for a in (1, 16, 31, 46)]
+    found = ranged.join(F.broadcast(shift), "_b").select(row.alias("h")).agg(F.count("*").cast("string"), *halves).first()
+    return hashlib.sha256("|".join(str(x) for x in found).encode()).hexdigest()
+
+
+def subset_proof(parent: DataFrame, child: DataFrame, ledger: DataFrame, key: str, order: list[str]) -> dict:
+    """Rows of parent, child and ledger, and whether child is parent without the ledger's keys: the same whole rows in the same order."""
+    kept = parent.join(ledger.select(key).distinct(), key, "left_anti").select(*parent.columns)
+    counts = {"input_rows": parent.count(), "kept_rows": child.count(), "removed_rows": ledger.count()}
+    same = stream_digest(kept, order) == stream_digest(child.select(*parent.columns), order)
+    return counts | {"same_stream": same, "status": "PASS" if same and counts["input_rows"] == counts["kept_rows"] + counts["removed_rows"] else "FAIL"}
+
+
+def corpus_faults(spark, folder: str, manifest: list[dict], pattern: str = r"(train|val)_\d+\.parquet") -> DataFrame:
+    """(path, fault) of published shards: unlisted, missing, changed, with another number of rows, of an unexpected name, or with a blank text. manifest: path, rows, sha256."""
+    listed = spark.createDataFrame([(m["path"], int(m["rows"]), m["sha256"]) for m in manifest], "path string, want_rows long, want_sha256 string")
+    both = shard_ledger(spark, folder).join(listed, "path", "full_outer")
+    fault = (
+        F.when(F.col("want_sha256").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want_sha256"), "changed")
+        .when(F.col("rows") != F.col("want_rows"), "row_count").when(~F.col("path").rlike(f"^{pattern}$"), "name")
+    )
+    found = both.select("path", fault.alias("fault")).filter("fault is not null")
+    blank = spark.read.parquet(folder).filter(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("path")).distinct()
+    return found.unionByName(blank.withColumn("fault", F.lit("blank_text")))
+
+
+def policy_audit(parts: dict[str, DataFrame], barred: list[str]) -> DataFrame:
+    """(part, rows, barred) of named parts (source): how many rows are of barred sources; none may be."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("rows"), F.count(F.when(F.col("source").isin(barred), 1)).alias("barred")).select(F.lit(name).alias("part"), "rows", "barred")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -89,6 +89,14 @@ def publish(tables: dict[str, DataFrame], root: str, manifest: dict | None = Non
     return name
 
 
+def publish_conversations(built: DataFrame, root: str, manifest: dict | None = None) -> str:
+    """Publishes the rows of conversations.build as one generation: train and val, each ordered by its messages, and the quarantine; either split empty is an error."""
+    rows = built.filter("reason is null").withColumn("_order", F.to_json("messages"))
+    parts = {s: rows.filter(F.col("split") == s).orderBy("_order").select("conv_id", "messages", "group_id") for s in ("train", "val")}
+    quarantine = built.filter("reason is not null").select("conv_id", "reason")
+    return publish(parts | ({"quarantine": quarantine} if quarantine.limit(1).count() else {}), root, manifest)
+
+
 @contextmanager
 def _writer_lock(spark: SparkSession, root: str):
     """One writer at a time: the lock file is created, which fails if it is there. A writer that was killed leaves it; its owner removes it."""
