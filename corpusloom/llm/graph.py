@@ -1,38 +1,21 @@
-"""Connected components by alternating large-star and small-star steps, over edges that never leave the cluster."""
+"""Connected components, with the tables of all but the last step dropped."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch
+from corpusloom.operators.graph import star_components
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """edges: (u, v) with u > v. One step; each node's least neighbour comes from a partial aggregate and a join, so that
-    a node with very many neighbours is spread over tasks."""
-    if small:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.distinct()
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of each node of edges (a, b), label being the least node of its component."""
+    held: list[DataFrame] = []
 
+    def cut(df: DataFrame) -> DataFrame:
+        out = scratch.cut(df, "edges")
+        scratch.drop(*held)
+        held[:] = [out]
+        return out
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(node, label) of each node of edges (a, b), label being the least node of its component."""
-    now = scratch.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        step = _stars(_stars(now, False), True)
-        after = scratch.cut(step, "edges")
-        scratch.drop(now)
-        now = after
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            roots = now.select(F.col("v").alias("node")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))
-        seen = mark
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return star_components(edges, cut)

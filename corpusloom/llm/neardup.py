@@ -11,7 +11,7 @@ in different components, an exact prefix and position filter over their full set
 
 Defined cases: null or empty texts, and texts without words, have no shingles and are linked with nothing; with fewer words than
 a shingle takes, the whole sequence is one; repeated rows are copies of each other; a null id is never a component's id
-unless all its members have none. Other columns play no part.
+unless all its members have none; ties between ids need no rule, as ids are compared only. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -77,8 +77,18 @@ def signature(values: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
     return (_mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
-def node_of(values: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+def node_of(values: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The id of a set, of so many bits, and 64 bits more that tell sets of one id apart."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(values.tobytes()), 1 << 64)
+    return (low & (1 << bits) - 1) - (1 << 63), high - (1 << 63)
+
+
+def _apart(df: DataFrame, met: DataFrame | None) -> DataFrame:
+    """df with ids of their own for the sets whose ids (met) several sets share."""
+    if met is None:
+        return df
+    own = F.when(F.col("_met").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return df.join(small(met), F.col("node") == F.col("_met"), "left").withColumn("node", own).drop("_met")
 
 
 def safe_distance(percent: int, symbols: int = SYMBOLS, miss: float = 1e-6) -> int:
@@ -115,11 +125,11 @@ def _ids(df: DataFrame, id_col: str):
     return df.select(col(id_col)).schema[0].dataType
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, symbols: int = SYMBOLS) -> DataFrame:
-    """doc_id, the text's hash, n_shingles, node (null without words) and signature of each row; no shuffle."""
+def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, symbols: int = SYMBOLS, bits: int = 64) -> DataFrame:
+    """doc_id, the text's hash, n_shingles, node and check (null without words) and signature of each row; no shuffle."""
     small_batches(df.sparkSession)
     kind = _ids(df, id_col)
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
         words = Words()
@@ -127,15 +137,15 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, symbols:
         def rows():
             for i, h, text in rows_of(batches, "doc_id", "text_hash", "text"):
                 s = shingles(words.hashes(text.lower().split()), shingle)
-                yield (i, h, len(s), node_of(s), signature(s, symbols).tobytes()) if len(s) else (i, h, 0, None, None)
+                yield (i, h, len(s), *node_of(s, bits), signature(s, symbols).tobytes()) if len(s) else (i, h, 0, None, None, None)
 
         return batches_of(rows(), schema)
 
-    return id_text(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, text_hash long, n_shingles long, node long, sig binary")
+    return id_text(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, text_hash long, n_shingles long, node long, check long, sig binary")
 
 
-def _full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
+def _full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int = 64) -> DataFrame:
+    schema = pa.schema([("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches):
         words = Words()
@@ -144,11 +154,11 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             for (text,) in rows_of(batches, "text"):
                 s = shingles(words.hashes(text.lower().split()), shingle)
                 if len(s):
-                    yield node_of(s), len(s), s.view(np.int64)
+                    yield *node_of(s, bits), len(s), s.view(np.int64)
 
         return batches_of(rows(), schema, size=200)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "node long, n long, members array<long>")
+    return id_text(df, id_col, text_col).mapInArrow(run, "node long, check long, n long, members array<long>")
 
 
 def _within(distance: int, symbols: int):
@@ -168,15 +178,24 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", both.alias("both")).filter(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, symbols: int = SYMBOLS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, symbols: int = SYMBOLS, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links of percent / 100 or more), kept, node and text_hash of each row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     distance = safe_distance(percent, symbols)
     parts = chunks(distance, symbols)
-    signed = scratch.cut(signatures(df, id_col, text_col, shingle, symbols), "signed")
-    # exact copies of a set are one node
-    nodes = scratch.cut(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+    signed = scratch.cut(signatures(df, id_col, text_col, shingle, symbols, bits), "signed")
+
+    def nodes_of(rows: DataFrame) -> DataFrame:
+        each = rows.filter("node is not null").groupBy("node")
+        return scratch.cut(each.agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), (F.min("check") < F.max("check")).alias("met")), "nodes")
+
+    # exact copies of a set are one node; different sets of one 64-bit id, of which there are few or none, are told apart by 64 bits more
+    nodes, met = nodes_of(signed), None
+    if nodes.filter("met").limit(1).count():
+        met = scratch.cut(nodes.filter("met").select(F.col("node").alias("_met")), "met")
+        signed = scratch.cut(_apart(signed, met), "signed")
+        nodes = nodes_of(signed)
 
     def keyed(batches):
         for batch in batches:
@@ -202,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = wanted.select(F.col("least_id").alias("wanted_id")).dropna().distinct()
     source = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     some = source.join(small(ids), source["doc_id"] == F.col("wanted_id"), "left_semi").union(source.filter("doc_id is null"))
-    sets = scratch.cut(_full_sets(some, "doc_id", "text", shingle).dropDuplicates(["node"]), "sets")
+    sets = scratch.cut(_apart(_full_sets(some, "doc_id", "text", shingle, bits), met).select("node", "n", "members").dropDuplicates(["node"]), "sets")
 
     links = scratch.cut(_linked(pairs, sets, percent), "links")
     labels = scratch.cut(components(links, scratch), "labels")
@@ -219,6 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a component may hold a third of all nodes, so its least id comes by broadcast; nodes in no link are their own
     comp = scratch.cut(final.join(nodes.select("node", "least_id"), "node"), "comp")
     least = scratch.cut(comp.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
+    scratch.drop(buckets, led, pairs, wanted, sets, links, labels, unsure, more)  # the result reads signed, nodes, comp and least
     linked = comp.join(small(least), "label").select("node", "component_id")
     alone = nodes.join(comp.select("node"), "node", "left_anti").select("node", F.col("least_id").alias("component_id"))
     of_node = linked.unionByName(alone)

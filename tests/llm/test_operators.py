@@ -348,6 +348,8 @@ def test_near_duplicates(spark, percent):
     rows += [rows[0], (3, "one")]
     df = frame(spark, rows)
     assert collected(neardup.op9_result(neardup.near_duplicates(df, percent=percent))) == sorted(neardup.brute_components(rows, 5, percent), key=repr)
+    few = neardup.near_duplicates(df, percent=percent, bits=3)  # so that sets share their ids
+    assert collected(neardup.op9_result(few)) == sorted(neardup.brute_components(rows, 5, percent), key=repr)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
     kept = sorted(r.doc_id for r in neardup.keep_one(df, percent=percent).collect())
     assert kept == sorted({r[0] for r in neardup.brute_components(rows, 5, percent) if r[3]})
