@@ -119,16 +119,26 @@ def match(records: list[tuple], window: int = WINDOW) -> list[np.ndarray]:
 def _shard(records: list[tuple], window: int) -> list[np.ndarray]:
     order = sorted(range(len(records)), key=lambda i: (records[i][2], records[i][4]))
     machine = SuffixAutomaton()
+    kinds: dict[int, set[bytes]] = {}  # the distinct segments of each key
+    for r in records:
+        kinds.setdefault(r[0], set()).add(r[7])
     split: dict[bytes, list[bytes]] = {}
+    firsts: dict[bytes, np.ndarray] = {}
     for i in order:
         part = records[i][7]
-        if part not in split:
-            split[part] = part.split(b" ")
-            machine.begin(i)
-            for w in split[part]:
-                machine.extend(w)
+        if part in split:
+            continue
+        split[part] = part.split(b" ")
+        if len(kinds[records[i][0]]) == 1:  # nothing else to meet: all its windows stand here first
+            firsts[part] = np.full(len(split[part]) - window + 1, i, np.int64)
+            continue
+        machine.begin(i)
+        for w in split[part]:
+            machine.extend(w)
     ids, rows, places = (np.array([r[k] for r in records], np.int64) for k in (2, 3, 4))
-    firsts = {part: np.array(machine.firsts(words, window), np.int64) for part, words in split.items()}
+    for part, words in split.items():
+        if part not in firsts:
+            firsts[part] = np.array(machine.firsts(words, window), np.int64)
     out: list[np.ndarray] = []
     for i, r in enumerate(records):
         first = firsts[r[7]]
