@@ -32,8 +32,13 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: Texts of these characters alone are in NFC: all below U+0300, Cyrillic letters without combining signs, and general punctuation.
+_IN_NFC = r"\A[\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{4ff}\x{2010}-\x{2027}\x{2030}-\x{205e}]*+\z"
+
+
 def nfc(text: Column) -> Column:
-    return _nfc(text)
+    """The canonical composition. Only texts that may need it go through Python; nulls stay null."""
+    return F.coalesce(_nfc(F.when(~text.rlike(_IN_NFC), text)), text)
 
 
 @functools.cache
