@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import evals, scoring, text, urls
-from corpusloom.operators import conversations, dedup, leakage, metrics, mixture, outcomes
+from corpusloom.operators import conversations, dedup, hamming, leakage, metrics, mixture, outcomes
 from corpusloom.plans import curation, registry
 from corpusloom.plans.scratch import cutter
 from corpusloom.sources import readers, sinks
@@ -122,16 +122,42 @@ def test_simhash_pairs_of_all_rows(spark, tmp_path):
         rows += [(3 * i, " ".join(w)), (3 * i + 1, ", ".join(reversed(w)).upper())][: 2 if i % 2 else 1] + [(3 * i + 2, " ".join([*w[1:], "other"]))]
     rows += [(300, None), (301, ""), (302, "aa b")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.a, r.b): r.distance for r in registry.QUERIES["simhash_pairs"](spark, str(tmp_path)).collect()}
+    out = registry.QUERIES["simhash_pairs"](spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.class_id, r.n_links) for r in out}
     prints = dict(zip((i for i, _ in rows), (x & (1 << 64) - 1 for x in column(spark, [t for _, t in rows], dedup.simhash)), strict=True))
     first = {}
     for i in sorted(prints):
         first.setdefault(prints[i], i)
-    ids = sorted(first.values())
-    near = {(a, b): (prints[a] ^ prints[b]).bit_count() for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 6}
-    assert got == near | {(first[f], i): 0 for i, f in prints.items() if first[f] != i} and (300, 302) in got and (3, 4) in got
-    # no link between any two rows is lost: directly, or through the first of the fingerprint
-    assert all(first[prints[a]] == first[prints[b]] or tuple(sorted((first[prints[a]], first[prints[b]]))) in got for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= 6)
+    # every row comes once, and no link between any two rows is lost
+    want = {i: (first[f], sum(j != i and (f ^ g).bit_count() <= 6 for j, g in prints.items())) for i, f in prints.items()}
+    assert got == want and len(out) == len(rows) and got[302] == (300, 2) and got[4][0] == 3 and max(n for _, n in got.values()) > 1
+
+
+def clustered(rnd, n):
+    """Distinct fingerprints: some around few centres, the others anywhere."""
+    centres = [rnd.getrandbits(64) for _ in range(3)]
+    return list(dict.fromkeys(rnd.choice(centres) ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(6))) & (1 << 64) - 1 if i % 4 else rnd.getrandbits(64) for i in range(n)))
+
+
+def test_links_and_choice_of_clustered_fingerprints(spark, monkeypatch):
+    rnd = random.Random(11)
+    fps = clustered(rnd, 900)
+    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
+    rows += [(len(fps) + k, rows[k][1]) for k in range(0, 60, 3)]
+    of = dict(rows)
+    near = {f: sum(((f ^ g) & (1 << 64) - 1).bit_count() <= 6 for g in of.values()) - 1 for f in of.values()}
+    kept = []
+    for i, f in enumerate(fps):
+        if all((f ^ g).bit_count() > 6 for _, g in kept):
+            kept.append((i, f))
+    cut, df = cutter(spark), spark.createDataFrame(rows, "id long, fp long")
+    for block, blocks in ((10_000, 1), (40, 64)):  # one cell for a value of a band, and many
+        monkeypatch.setattr(hamming, "BLOCK", block), monkeypatch.setattr(hamming, "BLOCKS", blocks)
+        got = {r.id: r.n_links for r in hamming.hamming_links(df, "id", "fp", 6, cut).collect()}
+        assert got == {i: near[f] for i, f in rows} and sum(got.values()) > 5000
+    for alone in (10_000, 100, 0):  # by one task, after rounds, and by rounds alone
+        got = hamming.kept_in_order(df.filter(f"id < {len(fps)}"), 6, cut, alone)
+        assert sorted(r.id for r in got.collect()) == [i for i, _ in kept]
 
 
 def test_first_independent_set(spark):
