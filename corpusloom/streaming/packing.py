@@ -9,23 +9,33 @@ from pyspark.sql import functions as F
 
 
 def offsets(df: DataFrame, order: str, length: Column, buckets: int = 64) -> DataFrame:
-    """df with offset: the lengths before each row in order. Sums run within ranges of the order and are shifted by the ranges' totals."""
-    sized = df.withColumn("_n", length.cast("long")).repartitionByRange(buckets, order).withColumn("_b", F.spark_partition_id())
+    """df with offset: the lengths before each row in order. Sums run within ranges of the order and are shifted by the ranges' totals.
+
+    The ranges' bounds are collected once: each use of a range partitioning samples its bounds anew, so sums and totals would be of different ranges.
+    """
+    bounds = df.select(order).repartitionByRange(buckets, order).groupBy(F.spark_partition_id().alias("_b")).agg(F.min(order).alias("least"))
+    bounds = sorted(r.least for r in bounds.collect() if r.least is not None)
+    kind = df.schema[order].dataType
+    bucket = F.size(F.filter(F.array(*(F.lit(x).cast(kind) for x in bounds)), lambda x: x <= F.col(order))) if bounds else F.lit(0)
+    sized = df.withColumn("_n", F.greatest(length.cast("long"), F.lit(0))).withColumn("_b", F.when(F.col(order).isNull(), 0).otherwise(bucket))
     totals = sized.groupBy("_b").agg(F.sum("_n").alias("_t"))
     shifts = totals.select("_b", F.coalesce(F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inner = F.coalesce(F.sum("_n").over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sized.join(F.broadcast(shifts), "_b").withColumn("offset", F.col("_o") + inner).drop("_n", "_b", "_o")
+    return sized.withColumn("_i", inner).join(F.broadcast(shifts), "_b").withColumn("offset", F.col("_o") + F.col("_i")).drop("_n", "_b", "_o", "_i")
 
 
 def pack(df: DataFrame, order: str, tokens: str, capacity: int) -> DataFrame:
     """(row, tokens) of capacity + 1 tokens: the documents' tokens in order, cut at every capacity-th; neighbours share one token.
-    Only complete rows."""
-    placed = offsets(df.select(order, tokens), order, F.size(tokens))
-    each = placed.select("offset", F.posexplode(tokens).alias("i", "token")).select((F.col("offset") + F.col("i")).alias("p"), "token")
-    own = each.select((F.col("p") / capacity).cast("long").alias("row"), F.pmod("p", F.lit(capacity)).cast("int").alias("slot"), "token")
-    shared = own.filter("slot = 0 and row > 0").select((F.col("row") - 1).alias("row"), F.lit(capacity).alias("slot"), "token")
-    rows = own.unionByName(shared).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("slot", "token"))).alias("t"))
-    return rows.filter(F.size("t") == capacity + 1).select("row", F.transform("t", lambda x: x["token"]).alias("tokens"))
+    Only complete rows. Documents are shuffled as slices, one for each row they have a share in."""
+    placed = offsets(df.select(order, tokens), order, F.size(tokens)).filter(F.size(tokens) > 0)
+    end = F.col("offset") + F.size(tokens)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("offset") / capacity) - 1)
+    each = placed.select("offset", end.alias("end"), tokens, F.explode(F.sequence(first, F.floor((end - 1) / capacity))).alias("row"))
+    start = F.greatest(F.col("offset"), F.col("row") * capacity)
+    some = F.slice(tokens, (start - F.col("offset") + 1).cast("int"), (F.least("end", (F.col("row") + 1) * capacity + 1) - start).cast("int"))
+    rows = each.select("row", start.alias("start"), some.alias("some")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "some"))).alias("t"))
+    rows = rows.select("row", F.flatten(F.transform("t", lambda x: x["some"])).alias("tokens"))
+    return rows.filter(F.size("tokens") == capacity + 1)
 
 
 def rank_rows(df: DataFrame, ordinal: str, rank: int, world: int) -> DataFrame:

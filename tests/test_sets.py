@@ -185,3 +185,17 @@ def test_scores_of_answers(spark):
     rows = spark.createDataFrame([("PySpark `the the` https://x.org/the and of the in to",), ("def f(x):\n  return {x}; the and of in",)], "t string")
     a, b = (r.d for r in rows.select(scoring.detect(F.col("t"), profile, least=1).alias("d")).collect())
     assert "url_present" in a.reasons and "no_marker_letters" in a.reasons and "code_present" in b.reasons
+
+
+def test_offsets_of_more_rows_than_ranges_are_drawn_from(spark):
+    # ranges of a table of this size are drawn from a sample, which two uses of a partitioning don't share
+    n = 60_000
+    df = spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.pmod(F.col("id") * 7, F.lit(5)).cast("int")), lambda i: F.col("id") * 10 + i).alias("t")).repartition(3)
+    sizes = [7 * i % 5 + 1 for i in range(n)]
+    starts = [0]
+    for k in sizes:
+        starts.append(starts[-1] + k)
+    assert {r.id: r.offset for r in packing.offsets(df, "id", F.size("t")).select("id", "offset").collect()} == dict(enumerate(starts[:-1]))
+    stream = [10 * i + j for i, k in enumerate(sizes) for j in range(k)]
+    rows = dict(map(tuple, packing.pack(df, "id", "t", 512).collect()))
+    assert rows == {r: stream[r * 512 : r * 512 + 513] for r in range((len(stream) - 1) // 512)}
