@@ -218,13 +218,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # full sets of the nodes that share a key, from one document each
     wanted = scratch.cut(buckets.select("node").distinct().join(nodes.select("node", "least_id"), "node"), "wanted")
-    ids = wanted.select(F.col("least_id").alias("wanted_id")).dropna().distinct()
+    ids = wanted.select(F.col("least_id").alias("wanted_id")).dropna()
     source = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     some = source.join(small(ids), source["doc_id"] == F.col("wanted_id"), "left_semi").union(source.filter("doc_id is null"))
     sets = scratch.cut(_apart(_full_sets(some, "doc_id", "text", shingle, bits), met).select("node", "n", "members").dropDuplicates(["node"]), "sets")
 
     links = scratch.cut(_linked(pairs, sets, percent), "links")
-    labels = scratch.cut(components(links, scratch), "labels")
+    labels = components(links, scratch)
 
     # members of a key, other than its leader, in different components
     own = F.coalesce("label", "node")
@@ -232,13 +232,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     unsure = scratch.cut(rest.join(open_keys, "key").select("node", "label").distinct(), "unsure")
     more = scratch.cut(_linked(_prefix_pairs(unsure, sets, percent, scratch), sets, percent), "more")
-    every = links.union(more)
-    final = components(every, scratch)
+    # links between components, if there are any, join them: the stars stand for the links that made them
+    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch) if more.limit(1).count() else labels
 
     # a component may hold a third of all nodes, so its least id comes by broadcast; nodes in no link are their own
     comp = scratch.cut(final.join(nodes.select("node", "least_id"), "node"), "comp")
     least = scratch.cut(comp.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
-    scratch.drop(buckets, led, pairs, wanted, sets, links, labels, unsure, more)  # the result reads signed, nodes, comp and least
+    scratch.drop(buckets, led, pairs, wanted, sets, links, labels, unsure, more, *([final] if final is not labels else []))  # the result reads signed, nodes, comp and least
     linked = comp.join(small(least), "label").select("node", "component_id")
     alone = nodes.join(comp.select("node"), "node", "left_anti").select("node", F.col("least_id").alias("component_id"))
     of_node = linked.unionByName(alone)
@@ -277,15 +277,18 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     found = scratch.cut(near_duplicates(df, id_col, text_col, shingle=shingle, percent=percent), "found")
     # of several texts of one id and one set, the one of the least hash stays
     one = found.filter("kept and node is not null").groupBy("doc_id", "node").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count("*").alias("rows"))
-    others = found.filter("kept").join(one.filter("least < most").select("doc_id", "node", "least"), ["doc_id", "node"]).filter("text_hash > least")
+    one = scratch.cut(one.filter("rows > 1"), "repeated")
+    others = found.filter("kept").join(small(one.filter("least < most").select("doc_id", "node", "least")), ["doc_id", "node"]).filter("text_hash > least")
     i, h = unused("_id", df), unused("_hash", df)
     dropped = found.filter("not kept").select("doc_id", "text_hash").union(others.select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    dropped = scratch.cut(dropped, "dropped")
     same = col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(col(text_col), F.lit("")).cast("binary")) == F.col(h))
     out = df.join(small(dropped), same, "left_anti")
-    repeated = one.filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias(i), F.col("least").alias(h))
+    repeated = one.filter("doc_id is not null").select(F.col("doc_id").alias(i), F.col("least").alias(h))
     if repeated.limit(1).count():
         again = out.join(small(repeated), same, "left_semi").dropDuplicates([id_col, text_col])
         out = out.join(small(repeated), same, "left_anti").union(again)
+    scratch.drop(found)  # the result reads the others
     return out
 
 

@@ -393,6 +393,32 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def jobs_of(spark, name, body):
+    """What body() returns, and the number of Spark's jobs in it."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return body(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_take_few_jobs(spark):
+    """Jobs, with their tasks, are what the driver's memory goes to."""
+    edges = [(1000 * i, 1000 * i + j) for i in range(1, 6) for j in range(1, 40)] + [(2000, 3001), (5000, 5000), (3, 2), (2, 1)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    got, jobs = jobs_of(spark, "components", lambda: dict(map(tuple, graph.components(df, Scratch(spark, "t")).collect())))
+    want = {1000 * i + j: 2000 if i == 3 else 1000 * i for i in range(1, 6) for j in range(40)} | {1: 1, 2: 1, 3: 1}
+    assert got == want and jobs <= 14  # 8 when written; 32 by steps of stars alone
+
+
+def test_one_of_each_group_takes_few_jobs(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:59] + [f"x{i % 5}"])) for i in range(30)] + [(i, f"{i} stands alone here with words {i * 7} of its own") for i in range(100, 130)]
+    df = frame(spark, rows)
+    kept, jobs = jobs_of(spark, "kept", lambda: sorted(r.doc_id for r in neardup.keep_one(df).collect()))
+    assert kept == [0, *range(100, 130)] and jobs <= 90  # 72 when written; 113 before
+
+
 def test_quality(spark):
     rnd = random.Random(1)
     say = lambda words, k: " ".join(rnd.choice(words) for _ in range(k))
