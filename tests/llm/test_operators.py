@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,6 +412,23 @@ def test_components_take_few_jobs(spark):
     assert got == want and jobs <= 14  # 8 when written; 32 by steps of stars alone
 
 
+def test_components_in_parts_and_without_broadcast(spark, monkeypatch):
+    edges = [(i + 1, i) for i in range(90)] + [(500, 500 + i) for i in range(1, 90)] + [(700, 40)]
+    random.Random(4).shuffle(edges)
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    u, v = np.array(edges).T
+    for _ in range(3):  # each part by itself, again and again: what is connected stays
+        parts = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 3]), pa.array(v[i : i + 3])], names=["u", "v"]) for i in range(0, len(u), 3)]
+        made = list(graph._contracted(parts))
+        assert len(made) > 1
+        u, v = (np.concatenate([b.column(n).to_numpy() for b in made]) for n in ("u", "v"))
+    want = {i: 0 for i in (*range(91), 700)} | {i: 500 for i in range(500, 590)}
+    assert {int(a): int(b) for a, b in zip(*graph.stars(u, v), strict=True)} == {a: b for a, b in want.items() if a != b}
+    monkeypatch.setattr(graph, "small", lambda df: df)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    assert dict(map(tuple, graph.components(df, Scratch(spark, "t")).collect())) == want
+
+
 def test_one_of_each_group_takes_few_jobs(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[:59] + [f"x{i % 5}"])) for i in range(30)] + [(i, f"{i} stands alone here with words {i * 7} of its own") for i in range(100, 130)]
